@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import mixing, quality, secrets
+from tesserae.llm import bpe, html, minhash, mixing, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary files lie; callers of the operators pass any other path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=20240229)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = F.col("secrets")["base"], F.col("secrets")["spans"]
@@ -26,6 +48,11 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.with_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m, bits = F.col("ledger")["m"], F.col("ledger")["bits"]
@@ -44,7 +71,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_secret_scans, op8_quality_rules, op9_source_mix)}
+    return {f.__name__: f for f in (
+        op1_html_extraction, op2_bpe_codec, op4_sharding, op5_secret_scans, op6_minhash_near_dedup, op8_quality_rules, op9_source_mix
+    )}
 
 
 def oracle_sql() -> dict:
