@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, html, minhash, mixing, quality, secrets, sharding
+from tesserae.llm import bpe, classifier, html, minhash, mixing, quality, rollup, secrets, sharding, topk
+from tesserae.llm._common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,27 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizer versions over all documents; a tenth leaves and comes back, and one batch is committed twice."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    counts = {
+        name: materialize(rollup.count_tokens(docs, name, public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN), "counts")
+        for name in ("byte_bpe_50k", "byte_bpe_multi_50k")
+    }
+    first, second = counts.values()
+    tenth = first.filter(F.col("doc_id") % 10 == 3)
+    batches = [
+        ("second-version", rollup.inserts(second)),
+        ("withdraw", rollup.deletes(tenth)),
+        ("second-version", rollup.inserts(second)),
+        ("restore", rollup.inserts(tenth)),
+        ("recount", rollup.revisions(tenth, tenth)),
+    ]
+    return rollup.load(spark, first, "token-counts", batches).totals()
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=20240229)
     return dealt.select(
@@ -53,6 +75,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "class_size", "kept")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.with_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m, bits = F.col("ledger")["m"], F.col("ledger")["bits"]
@@ -70,10 +96,26 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, classifier.graded(table(spark, sf_dir, "labels")))
+    rated = classifier.score(docs, model)
+    return rated.select(
+        "doc_id",
+        F.col("rating.expected_grade").alias("expected_grade"),
+        F.col("rating.tail_probability").alias("tail_probability"),
+        (F.col("rating.tail_probability") >= classifier.TAIL).alias("kept"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (
-        op1_html_extraction, op2_bpe_codec, op4_sharding, op5_secret_scans, op6_minhash_near_dedup, op8_quality_rules, op9_source_mix
-    )}
+    return {
+        f.__name__: f
+        for f in (
+            op1_html_extraction, op2_bpe_codec, op3_token_counts, op4_sharding, op5_secret_scans, op6_minhash_near_dedup,
+            op7_exact_topk, op8_quality_rules, op9_source_mix, op10_quality_classifier,
+        )
+    }
 
 
 def oracle_sql() -> dict:

@@ -10,6 +10,11 @@ import pyarrow as pa
 U = np.uint64
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_AS_IS = np.arange(256, dtype=np.uint8)
+#: Folded words: ASCII letters in lower case, every other ASCII character but digits counts as a blank.
+_FOLD = _AS_IS.copy()
+_FOLD[0x41:0x5B] += 0x20
+_FOLD_BLANK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _P = U(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = U(pow(int(_P), -1, 1 << 64))
 #: Bytes hashed at once; one longer text makes a longer piece of its own.
@@ -38,11 +43,12 @@ class _Powers:
         return cls.up, cls.down
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pieces (first row, word hashes, word count per row) that cover the column in order; a null text has no words.
 
     A word is a maximal run of bytes other than the six ASCII blanks. Its hash is a polynomial in its bytes modulo
-    2 ** 64, taken from prefix sums over the piece, and then mixed with its length.
+    2 ** 64, taken from prefix sums over the piece, and then mixed with its length. With ``fold``, words are runs of letters
+    and digits, ASCII letters in lower case.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,7 +71,9 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             yield row, np.zeros(0, dtype=U), counts
             row = last
             continue
-        blank = _BLANK[text]
+        blank = (_FOLD_BLANK if fold else _BLANK)[text]
+        if fold:
+            text = _FOLD[text]
         starts_row = np.zeros(size + 1, dtype=bool)
         starts_row[offsets[row:last] - begin] = True
         first = ~blank
@@ -101,9 +109,9 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         return mix(out)
 
 
-def per_row(column: pa.Array) -> Iterator[np.ndarray]:
+def per_row(column: pa.Array, fold: bool = False) -> Iterator[np.ndarray]:
     """The word hashes of each row in turn."""
-    for _, hashes, counts in word_hashes(column):
+    for _, hashes, counts in word_hashes(column, fold):
         at = 0
         for c in counts.tolist():
             yield hashes[at : at + c]
