@@ -19,17 +19,25 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 
 
+ODD = "#*$%&|<>0123456789!@^~_=+{}[]"
+
+
 def quality_weight(text: Column) -> Column:
     """Between 0.05 and 1: the share of characters that are not symbols, digits or bars; 0.05 for a null or empty text."""
     n = F.length(text)
-    odd = n - F.length(F.translate(text, "#*$%&|<>0123456789!@^~_=+\\{}[]", ""))
+    odd = n - F.length(F.translate(text, ODD, ""))
     return F.greatest(F.lit(0.05), F.coalesce(F.when(n > 0, 1.0 - odd / n), F.lit(0.05)))
 
 
-def exponential_key(unit_hash: Column, weight: Column) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the upper 53 bits of a 64-bit hash."""
-    u = (F.shiftrightunsigned(unit_hash, 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(u) / weight
+def row_hash(seed: int, *parts: Column) -> Column:
+    """52 bits of the MD5 of the seed and the non-null parts; any engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def exponential_key(row_hash: Column, weight: Column) -> Column:
+    """-ln(u) / weight with u in (0, 1) from a hash of 52 bits."""
+    return -F.log((row_hash + 0.5) / float(1 << 52)) / weight
 
 
 def source_targets(sources: DataFrame, total: float, cap: int = MAX_EPOCHS) -> DataFrame:
@@ -65,7 +73,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
     An empty table gives an empty result; a source without words has target 0 and takes nothing.
     """
     text, source = F.col("text"), F.col("source")
-    digest = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keep], text)
+    digest = row_hash(seed, *[F.col(f"`{c}`") for c in keep], text)
     rows = materialize(
         docs.select(
             *[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)],

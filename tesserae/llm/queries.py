@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, classifier, html, minhash, mixing, quality, rollup, secrets, sharding, topk
+from tesserae.llm import bpe, classifier, html, minhash, mixing, oracles, quality, rollup, secrets, sharding, topk
 from tesserae.llm._common import materialize
 
 
@@ -119,4 +119,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """Extraction, BPE, token counts by BPE, the Feistel shuffle, signatures and the fitted classifier are beyond SQL."""
+    return oracles.all_sql()
