@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,12 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
+#: Members of a bucket are checked against up to so many of them in turn, while over a hundredth of these checks find links.
+STARS = 10
+#: The rest of a bucket is compared in blocks of about so many members.
+BLOCK = 1024
+#: Registers of the longer signature that the blocks are compared by.
+FINE = 768
 _LAST = (1 << 63) - 1
 
 
@@ -145,6 +152,51 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, codes) -> (node, sketch): a longer signature, one byte per register. Codes are a set, so all counts are 1."""
+    for b in batches:
+        made = []
+        for x in b.column(1):
+            codes = np.frombuffer(x.as_py(), dtype=U)
+            sig = bag_minhash(codes, np.ones(len(codes), dtype=np.int64), FINE)
+            made.append((sig >> U(40)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "sketch"])
+
+
+def _least(registers: int, similarity: float, deviations: float) -> int:
+    return math.floor(registers * similarity - deviations * math.sqrt(registers * similarity * (1.0 - similarity)))
+
+
+def _compare_blocks(similarity: float):
+    """Pairs across components whose sketches agree often enough: within four standard deviations of ``similarity``.
+
+    A pair that shares several buckets is left to the first of its bands. A first look at 128 registers allows five deviations.
+    """
+    few, least_few, least = 128, _least(128, similarity, 5.0), _least(FINE, similarity, 4.0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["block"].to_numpy() == pdf["block"].min()
+        node, label, bucket = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["bucket"].iloc[0]
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), FINE)
+        bands = np.stack(pdf["bands"].to_numpy())
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        near = np.ascontiguousarray(sketch[right][:, :few])
+        out = []
+        for k in left.tolist():
+            some = np.flatnonzero(label[right] != label[k])
+            some = some[(near[some] == sketch[k, :few]).sum(1) >= least_few]
+            some = some[(sketch[right[some]] == sketch[k]).sum(1) >= least]
+            if len(some):
+                others = right[some]
+                shared = bands[others] == bands[k]
+                own = bands[k][shared.argmax(1)] == bucket
+                out += [(min(node[k], j), max(node[k], j)) for j in node[others[own]].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): label is the same throughout a connected component.
 
@@ -175,6 +227,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more ``links`` (a, b); a node without a label is its own."""
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    lifted = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    between = lifted.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    between = materialize(between, "between")
+    if between.isEmpty():
+        return labels
+    to = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    new = to.join(labels, "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    new = new.join(labels, "node", "left_anti")
+    moved = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(moved.unionByName(new), "labels")
+
+
 def _digest():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
@@ -187,9 +254,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     A text of one to four words is one shingle. A null, empty or blank text has no shingles and is a class of its own; so its
     class_id is its own doc_id. Null doc_ids count last; a class of nothing else has a null class_id.
 
-    Within a band's bucket all members are checked against its first. Where a bucket still holds several components, pairs
-    across them are checked too, unless the triangle inequality for 1 - similarity, through the bucket's first member, already
-    rules them out. So no candidate pair is given up, and a bucket of copies costs one check per member.
+    Within a band's bucket all members are checked against its first. Where a bucket still holds several components, another
+    of its members is checked against those outside its component, again while that finds links. Then the signatures of all
+    members that are still in different components are compared, block by block, and every pair that may reach ``similarity`` (four
+    standard deviations allowed) is checked. So no candidate pair is given up, a bucket of copies costs a few checks per
+    member, and no task holds more than two blocks.
     """
     ship(docs.sparkSession)
     signed = docs.select(F.col("doc_id"), _digest().alias("digest"), F.col("text")).mapInArrow(
@@ -224,26 +293,44 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return materialize(checked, label)
 
     near = verified(pairs, "near")
-    links = near.filter(F.col("similarity") >= similarity)
+    done, links = near, near.filter(F.col("similarity") >= similarity)
     labels = components(links)
-    # Members by bucket with their component and their distance to the bucket's first member (0 for itself).
-    placed = buckets.join(near, (buckets["center"] == near["a"]) & (buckets["node"] == near["b"])).select(
-        "bucket", "node", (1.0 - F.col("similarity")).alias("d")
-    )
-    placed = placed.unionByName(buckets.select("bucket", F.col("center").alias("node"), F.lit(0.0).alias("d")).distinct())
-    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-    open_ = materialize(placed.join(mixed.filter("lo < hi and m > 2").select("bucket"), "bucket", "left_semi"), "open")
-    reach = 1.0 - similarity
-    cell = F.floor(F.col("d") / reach).cast("int")
-    left = open_.filter("d > 0").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"), cell.alias("cell"))
-    right = open_.filter("d > 0").select(
-        "bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")
-    )
-    across = left.join(right, ["bucket", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9))
-    more = verified(materialize(across.select("a", "b").distinct(), "across"), "near-across").filter(F.col("similarity") >= similarity)
+    everyone = buckets.select("bucket", "node").unionByName(buckets.select("bucket", F.col("center").alias("node")).distinct())
+
+    def labelled_members() -> DataFrame:
+        """Members of the buckets that hold more than one component."""
+        placed = everyone.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
+        return placed.join(mixed.filter("lo < hi and m > 2").select("bucket"), "bucket", "left_semi")
+
+    def ordered_pairs(df: DataFrame) -> DataFrame:
+        both = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return both.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    for r in range(1, STARS):
+        open_ = materialize(labelled_members(), "open")
+        rank = F.xxhash64(F.lit(r), F.col("node"))
+        stars = open_.groupBy("bucket").agg(F.min_by("node", rank).alias("a"), F.min_by("label", rank).alias("la"))
+        facing = open_.join(stars, "bucket").filter("label <> la").select("a", F.col("node").alias("b"))
+        found = verified(materialize(ordered_pairs(facing), "pairs"), "near")
+        done = done.unionByName(found)
+        joins = found.filter(F.col("similarity") >= similarity)
+        labels = merged(labels, joins)
+        if joins.count() <= found.count() / 100:
+            break
+    # What is left: pairs across components, by blocks of each open bucket.
+    open_ = materialize(labelled_members(), "open")
+    fine = codes.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, sketch binary")
+    fine = materialize(fine.join(worded.select(F.col("rid").alias("node"), "bands"), "node"), "fine")
+    sizes = open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks")).cast("int")
+    facing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = open_.join(sizes, "bucket").withColumn("block", block).select("bucket", "node", "label", "block", F.explode(facing).alias("at"))
+    dealt = dealt.join(fine, "node").select("bucket", "at", "node", "label", "block", "sketch", "bands")
+    across = dealt.groupBy("bucket", "at").applyInPandas(_compare_blocks(similarity), "a long, b long")
+    more = verified(materialize(ordered_pairs(across), "across"), "near-across").filter(F.col("similarity") >= similarity)
     if not more.isEmpty():
-        labels = components(links.select("a", "b").unionByName(more.select("a", "b")))
+        labels = merged(labels, more)
 
     labelled = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(
