@@ -15,6 +15,10 @@ from tesserae.runtime import ship
 from tesserae.sources.raster import KEY, RasterMeta
 
 
+#: Rows of a raster that one Python call works on; a strip of the widest rasters is a few million pixels.
+STRIP = 32
+
+
 def lower_envelope(xs: np.ndarray, heights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """min over i of (at - xs[i])^2 + heights[i] for ascending ``xs``: the envelope of parabolas, in linear time."""
     if len(xs) == 0:
@@ -51,14 +55,19 @@ def distance(raster: DataFrame, meta: RasterMeta, target: int = 0, skip: int | N
     columns = raster.select(*KEY, "v", vertical.alias("g"))
     xres, yres = meta.xres, meta.yres
 
-    def one_row(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        x, g = pdf["x"].to_numpy(float), pdf["g"].to_numpy(float)
-        has = ~np.isnan(g)
-        d = np.sqrt(lower_envelope(x[has] * xres, (g[has] * yres) ** 2, x * xres))
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"])
+        y, x, g = pdf["y"].to_numpy(), pdf["x"].to_numpy(float), pdf["g"].to_numpy(float)
+        d = np.empty(len(pdf))
+        edges = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            has = ~np.isnan(g[lo:hi])
+            d[lo:hi] = np.sqrt(lower_envelope(x[lo:hi][has] * xres, (g[lo:hi][has] * yres) ** 2, x[lo:hi] * xres))
         return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], "d": d, "v": pdf["v"]})
 
-    out = columns.groupBy("y").applyInPandas(one_row, f"y int, x int, d double, v {dict(raster.dtypes)['v']}")
+    kind = dict(raster.dtypes)["v"]
+    strips = columns.withColumn("strip", F.floor(F.col("y") / STRIP)).groupBy("strip")
+    out = strips.applyInPandas(rows, f"y int, x int, d double, v {kind}")
     value = F.when(F.col("d") < float("inf"), F.floor("d")).cast("long")
     return out.select(*KEY, (F.when(F.col("v") == skip, None).otherwise(value) if skip is not None else value).alias("v"))
 
@@ -79,12 +88,13 @@ def _shifted(raster: DataFrame) -> DataFrame:
 def slope(dem: DataFrame, meta: RasterMeta) -> DataFrame:
     """(y, x, v): slope in degrees by the 3 x 3 kernel that weighs direct neighbours twice, rounded half to even, as a short.
 
-    A missing neighbour is extrapolated linearly through the pixel from the opposite one, or takes the pixel's own value.
+    A missing direct neighbour is extrapolated through the pixel from the opposite one, or takes the pixel's own value; a missing
+    diagonal one lies on the plane through its two direct neighbours and the pixel. So a plane keeps its slope up to the edge.
     """
     n = _shifted(dem)
     e = F.col("e")
-    opposite = {"a": "i", "b": "h", "c": "g", "d": "f", "f": "d", "g": "c", "h": "b", "i": "a"}
-    v = {k: F.coalesce(F.col(k), 2.0 * e - F.col(o), e) for k, o in opposite.items()}
+    v = {k: F.coalesce(F.col(k), 2.0 * e - F.col(o), e) for k, o in (("b", "h"), ("h", "b"), ("d", "f"), ("f", "d"))}
+    v |= {k: F.coalesce(F.col(k), v[p] + v[q] - e) for k, p, q in (("a", "b", "d"), ("c", "b", "f"), ("g", "h", "d"), ("i", "h", "f"))}
     dx = ((v["c"] + 2.0 * v["f"] + v["i"]) - (v["a"] + 2.0 * v["d"] + v["g"])) / (8.0 * meta.xres)
     dy = ((v["g"] + 2.0 * v["h"] + v["i"]) - (v["a"] + 2.0 * v["b"] + v["c"])) / (8.0 * meta.yres)
     return n.select(*KEY, F.rint(F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))).cast("short").alias("v"))

@@ -438,12 +438,14 @@ def edt_distance(spark, sf_dir):
 
 
 _NEAR = {"a": (-1, -1), "b": (-1, 0), "c": (-1, 1), "d": (0, -1), "f": (0, 1), "g": (1, -1), "h": (1, 0), "i": (1, 1)}
-_OPP = {"a": "i", "b": "h", "c": "g", "d": "f", "f": "d", "g": "c", "h": "b", "i": "a"}
+_OPP = {"b": "h", "h": "b", "d": "f", "f": "d"}
+_DIAGONAL = {"a": "bd", "c": "bf", "g": "hd", "i": "hf"}
 _SLOPE = (
     f"WITH {EVENTS}, n AS (SELECT e.y, e.x, e.value e, " + ", ".join(f"{k}.value {k}" for k in _NEAR) + " FROM ev e "
     + " ".join(f"LEFT JOIN ev {k} ON {k}.y = e.y + {dy} AND {k}.x = e.x + {dx}" for k, (dy, dx) in _NEAR.items())
-    + "), m AS (SELECT y, x, " + ", ".join(f"coalesce({k}, 2 * e - {o}, e) {k}" for k, o in _OPP.items())
-    + " FROM n), g AS (SELECT y, x, ((c + 2 * f + i) - (a + 2 * d + g)) / 240.0::DOUBLE p, ((g + 2 * h + i) - (a + 2 * b + c)) / 240.0::DOUBLE q FROM m) SELECT y, x, CAST(round_even(degrees(atan(sqrt(p * p + q * q))), 0) AS SMALLINT) v FROM g"
+    + "), k AS (SELECT y, x, e, a, c, g, i, " + ", ".join(f"coalesce({k}, 2 * e - {o}, e) {k}" for k, o in _OPP.items())
+    + " FROM n), m AS (SELECT y, x, b, d, f, h, " + ", ".join(f"coalesce({k}, {p} + {q} - e) {k}" for k, (p, q) in _DIAGONAL.items())
+    + " FROM k), g AS (SELECT y, x, ((c + 2 * f + i) - (a + 2 * d + g)) / 240.0::DOUBLE p, ((g + 2 * h + i) - (a + 2 * b + c)) / 240.0::DOUBLE q FROM m) SELECT y, x, CAST(round_even(degrees(atan(sqrt(p * p + q * q))), 0) AS SMALLINT) v FROM g"
 )
 
 
