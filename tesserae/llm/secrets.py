@@ -185,16 +185,17 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     No document is dropped. Null texts stay null; ``n_chars`` is only touched where it exists and the text changed.
     """
-    to = fresh(docs, "__secrets")
+    to, clean = fresh(docs, "__secrets"), fresh(docs, "__clean")
     found = scan(docs, to=to)
-    spans = F.col(to)["spans"]
-    hit = F.size(spans) > 0
+    hit = F.size(F.col(to)["spans"]) > 0
+    # The redacted text is a column of its own first: in one projection, names inside lambdas would mean the new text.
+    cleaned = found.withColumn(clean, redact(F.col("text"), F.col(to)["spans"]))
     out = []
     for c, kind in docs.dtypes:
         col = F.col(f"`{c}`")
         if c == "text":
-            col = redact(col, spans).alias(c)
+            col = F.col(clean).alias(c)
         elif c == "n_chars":
-            col = F.when(hit, F.length(redact(F.col("text"), spans)).cast(kind)).otherwise(col).alias(c)
+            col = F.when(hit, F.length(F.col(clean)).cast(kind)).otherwise(col).alias(c)
         out.append(col)
-    return found.select(*out)
+    return cleaned.select(*out)
