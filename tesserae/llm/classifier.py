@@ -95,10 +95,10 @@ class _Rows:
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         k = self.chars.shape[1]
-        return np.bincount(self.rows, self.vals * w[self.cols], minlength=self.n) + self.chars @ w[-k:]
+        return np.bincount(self.rows, self.vals * w[self.cols], minlength=self.n).astype(float) + self.chars @ w[-k:]
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        out = np.bincount(self.cols, self.vals * g[self.rows], minlength=size)
+        out = np.bincount(self.cols, self.vals * g[self.rows], minlength=size).astype(float)
         out[-self.chars.shape[1] :] += self.chars.T @ g
         return out
 
