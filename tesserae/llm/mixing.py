@@ -69,11 +69,12 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
 
     Size is the number of words (null text: 0). Sources are ordered by code point with null last and weigh
     ``weights`` in turn; together they share all words. ``times`` counts epochs plus at most one fractional pick, so it
-    never passes 3. Ties in the key fall to the columns ``keep``; rows equal in all of them are interchangeable.
+    never passes 3. The key depends on doc_id and text. Ties in it fall to the columns ``keep``; rows equal in all of them are
+    interchangeable.
     An empty table gives an empty result; a source without words has target 0 and takes nothing.
     """
     text, source = F.col("text"), F.col("source")
-    digest = row_hash(seed, *[F.col(f"`{c}`") for c in keep], text)
+    digest = row_hash(seed, F.col("doc_id"), text)
     rows = materialize(
         docs.select(
             *[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)],
