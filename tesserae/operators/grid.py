@@ -145,3 +145,9 @@ def neighbours_within(cells: DataFrame, nrow: int, ncol: int, rank: int = 1) ->
 def adjacency(edges: DataFrame) -> DataFrame:
     """(cell, n, adj): the number of neighbours and their ascending list."""
     return edges.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("neighbor")).alias("adj"))
+
+
+def offsets(adjacent: DataFrame) -> DataFrame:
+    """(cell, n, start): where each cell's stretch begins in the flat neighbour list. One row per coarse spatial cell."""
+    upto = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return adjacent.select("cell", "n", (upto - F.col("n")).alias("start"))

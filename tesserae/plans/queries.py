@@ -176,6 +176,19 @@ def cell_neighbours(spark, sf_dir):
     return out.select("cell", "n", F.array_join(F.col("adj").cast("array<string>"), " ").alias("adj"))
 
 
+@query("""WITH c AS (SELECT CAST(i AS BIGINT) cell, i // 7 a, i % 7 b FROM range(0, 35) g(i)), n AS (SELECT p.cell, count(*) n FROM c p JOIN c q ON abs(p.a - q.a) <= 1 AND abs(p.b - q.b) <= 1 AND p.cell <> q.cell GROUP BY 1)
+ SELECT cell, n, CAST(sum(n) OVER (ORDER BY cell) - n AS BIGINT) start FROM n""")
+def neighbour_offsets(spark, sf_dir):
+    return grid.offsets(grid.adjacency(grid.neighbours(spark, 5, 7, 1)))
+
+
+@query(f"WITH {FCC}, {EVENTS} SELECT (x + 0.5::DOUBLE) * 30 east, 0.0 - (y + 0.5::DOUBLE) * 30 north, CASE WHEN v = 0 THEN 'lost' ELSE 'kept' END class FROM fcc WHERE v < 255")
+def observation_points(spark, sf_dir):
+    east, north = pixels.pixel_center(META)
+    seen = demo.fcc(spark, sf_dir).filter("v < 255")
+    return seen.select(east.alias("east"), north.alias("north"), F.when(F.col("v") == 0, "lost").otherwise("kept").alias("class"))
+
+
 @query("""WITH c AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) cell FROM part WHERE p_partkey % 3 <> 0 OR p_size > 40), d AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 id FROM c)
  SELECT p.cell, p.id cell_id, q.cell neighbor, q.id neighbor_id FROM d p JOIN d q ON abs(p.cell // 40 - q.cell // 40) <= 2 AND abs(p.cell % 40 - q.cell % 40) <= 2 AND p.cell <> q.cell""")
 def cell_neighbours_masked(spark, sf_dir):

@@ -216,3 +216,17 @@ def test_country_rasters(spark):
     out = country_rasters(bands, 3, RasterMeta(6, 6), area, {"roads": roads}, [bands.select("y", "x", F.col("x").cast("double").alias("v"))])
     assert {"forest_t1", "fcc12", "fcc23", "fcc13", "fcc123", "dist_edge_t3", "dist_road", "altitude", "slope"} <= set(out)
     assert out["fcc12"].filter("v = 0").count() == 6
+
+
+def test_zip_and_side_files(spark, tmp_path):
+    import zipfile
+
+    from tesserae.sources import archive
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/one.tif", b"abc")
+        z.writestr("two.txt", b"x")
+    got = archive.read_zip(spark, str(tmp_path / "*.zip"), ".tif").collect()
+    assert [(r.member, bytes(r.content)) for r in got] == [("d/one.tif", b"abc")]
+    archive.write_side_file(spark, str(tmp_path / "side"), {"csize": 10})
+    assert archive.read_side_file(spark, str(tmp_path / "side")) == {"csize": 10}
