@@ -35,6 +35,8 @@ OUTSIDE_WORDS = frozenset(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendation trending widget pagination pager copyright disclaimer legal search skip".split()
 )
+#: With one of these, a word such as sidebar tells what stands beside the element, not what it is.
+LAYOUT_WORDS = frozenset("layout with has no without".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 INSIDE_TAGS = frozenset(("article", "main"))
 INSIDE_WORDS = frozenset("article content post entry story body text main".split())
@@ -44,7 +46,7 @@ INSIDE_ROLES = frozenset(("main", "article"))
 P_SCOPE = frozenset("article aside blockquote body button details div fieldset figure footer form header html li main nav section table td th".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]++|<)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?a-zA-Z][^>]*\Z|([^<]++|<)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -99,7 +101,7 @@ def _verdict(tag: str, attributes: str, depth: int) -> int:
                 return -2
             if role in OUTSIDE_ROLES:
                 return -1
-            if tag not in INSIDE_TAGS and named & OUTSIDE_WORDS and not named & {"content", "article", "wrapper", "container", "layout", "page"}:
+            if tag not in INSIDE_TAGS and named & OUTSIDE_WORDS and not named & LAYOUT_WORDS:
                 return -1
             if role in INSIDE_ROLES or (named & INSIDE_WORDS and tag not in OUTSIDE_TAGS):
                 return 1
