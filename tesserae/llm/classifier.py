@@ -208,9 +208,12 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", to: str = "r
         weights, thresholds, bits = shared.value
         m = OrdinalModel(weights.astype(np.float64), thresholds, bits)
         for t in texts:
-            values = t.tolist()
-            rows = _Rows(list(features(pa.array(values, pa.string(), from_pandas=True), bits)), character_features(values))
-            p = m.tails(rows.dot(m.weights))
+            values, parts = t.tolist(), []
+            for k in range(0, len(values), 1000):
+                some = values[k : k + 1000]
+                rows = _Rows(list(features(pa.array(some, pa.string(), from_pandas=True), bits)), character_features(some))
+                parts.append(m.tails(rows.dot(m.weights)))
+            p = np.concatenate(parts) if parts else np.zeros((0, len(thresholds)))
             yield pd.DataFrame({"expected_grade": p.sum(1), "tail_probability": p[:, -1], "at_least": p[:, 0]})
 
     return docs.withColumn(to, rate(F.col(text)))

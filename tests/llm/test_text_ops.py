@@ -170,6 +170,9 @@ def test_main_text_of_a_page():
     assert html.main_text(PAGE) == "The & title\nFirst bold one <tag>. next\nSecond.\none\ntwo"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav><a>x</a></nav>") == ""
     assert html.main_text("<script>a<p>b") == ""
+    cut = '<article><p>Hello there friend.</p><div class="article-footer">Tags: x</div><p>a < b and c <p cla'
+    assert html.main_text(cut) == "Hello there friend.\na < b and c"
+    assert html.main_text('<div class="page-header">Site</div><div class="main-content has-sidebar"><p>One two three four.</p></div>') == "One two three four."
 
 
 def test_main_text_without_semantic_tags():
