@@ -663,9 +663,11 @@ def rf_fit(spark, sf_dir):
 
 @query()
 def icar_fit(spark, sf_dir):
-    d = sample.smallest_per_group(_sample(spark, sf_dir).filter("y < 100"), ["fcc23"], [sample.draw_key(F.col("id")), "id"], 500)
+    """A sample of all rows, on cells of 10 by 10 pixels over the whole height of the raster."""
+    nrow, ncol = -(-demo.meta_of(demo.events_grid(spark, sf_dir)).nrow // 10), WIDTH // 10
+    d = sample.smallest_per_group(_sample(spark, sf_dir), ["fcc23"], [sample.draw_key(F.col("id")), "id"], 500)
     settings = icar.Settings(burnin=100, mcmc=100)
-    m = icar.fit("I(1 - fcc23) + trial ~ scale(value) + cell", d, grid.neighbours(spark, 10, 10), 100, settings)
+    m = icar.fit("I(1 - fcc23) + trial ~ scale(value) + cell", d, grid.neighbours(spark, nrow, ncol), nrow * ncol, settings)
     return m.summary()
 
 
