@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.pixels import pixel_center
@@ -246,3 +246,12 @@ def snapped(box: tuple[float, float, float, float], res: float) -> tuple[float,
     """An extent moved outward to multiples of the resolution."""
     xmin, ymin, xmax, ymax = box
     return math.floor(xmin / res) * res, math.floor(ymin / res) * res, math.ceil(xmax / res) * res, math.ceil(ymax / res) * res
+
+
+def warped_meta(spark: SparkSession, meta: RasterMeta, res: float) -> RasterMeta:
+    """The EPSG:3395 grid of ``res`` metres that covers a raster in EPSG:4326: its projected corners, moved outward."""
+    xmin, ymin, xmax, ymax = meta.extent
+    corners = [c for lon, lat in ((xmin, ymin), (xmax, ymax)) for c in to_mercator(F.lit(lon), F.lit(lat))]
+    # Rounded to the micrometre, so that a corner on the grid adds no row for its rounding error.
+    x0, y0, x1, y1 = snapped(tuple(round(float(c), 6) for c in spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(corners)]).first()), res)
+    return RasterMeta(round((x1 - x0) / res), round((y1 - y0) / res), x0, y1, res, res, "EPSG:3395")

@@ -537,11 +537,17 @@ def reproject_points(spark, sf_dir):
 
 @query()
 def warp_mercator(spark, sf_dir):
-    """The risk raster, taken as degrees of a hundredth, on a metric grid."""
-    source = RasterMeta(WIDTH, 1, 0.0, 0.0, 0.01, 0.01, "EPSG:4326")
-    target = RasterMeta(WIDTH, 80, 0.0, 0.0, 1000.0, 1000.0, "EPSG:3395")
-    g = spark.range(target.ncol * target.nrow).select(F.floor(F.col("id") / WIDTH).cast("int").alias("y"), (F.col("id") % WIDTH).cast("int").alias("x"))
-    return spatial.warp_nearest(g, target, demo.risk(spark, sf_dir), source)
+    """The risk raster, taken as degrees of a hundredth, on a metric grid that covers it whole.
+
+    A raster taller than 80 degrees is taken as finer pixels, and so is the grid: past the pole no pixel has a place.
+    """
+    risk = demo.risk(spark, sf_dir)
+    height = demo.meta_of(risk).nrow
+    degrees = min(0.01, 80.0 / height)
+    source = RasterMeta(WIDTH, height, 0.0, 0.0, degrees, degrees, "EPSG:4326")
+    target = spatial.warped_meta(spark, source, 1000.0 * degrees / 0.01)
+    g = spark.range(target.ncol * target.nrow).select(F.floor(F.col("id") / target.ncol).cast("int").alias("y"), (F.col("id") % target.ncol).cast("int").alias("x"))
+    return spatial.warp_nearest(g, target, risk, source)
 
 
 # ---- lookups and plans
