@@ -29,15 +29,23 @@ BLOCK = frozenset(
     "th thead tr ul".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3"))
+#: Their ids are slugs of what they say.
+SLUGGED = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset search".split())
+#: Words for what stands around a text; those that texts also use of themselves cost less.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendation trending widget pagination pager copyright disclaimer legal search skip".split()
+    "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar aside nav navbar navigation breadcrumb breadcrumbs "
+    "footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup pagination pager".split()
+)
+EVERYDAY_WORDS = frozenset(
+    "menu header notice alert subscription login share sharing social related recommended recommendation trending widget copyright disclaimer legal "
+    "search skip".split()
 )
 #: With one of these, a word such as sidebar tells what stands beside the element, not what it is.
 LAYOUT_WORDS = frozenset("layout with has no without".split())
-COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+#: Readers' words in a thread, but also an author's own.
+ANSWER_WORDS = frozenset("reply replies respond discussion".split())
 INSIDE_TAGS = frozenset(("article", "main"))
 INSIDE_WORDS = frozenset("article content post entry story body text main".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
@@ -51,11 +59,13 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
+HUMP = re.compile(r"([a-z])([A-Z])")
 
 
 @dataclass(slots=True)
 class Element:
-    """An open element: its own verdict (-1 outside, 1 inside, -2 reader comments, 0 none) and its place in the tree."""
+    """An open element: its own verdict (-1 outside, 1 inside, 0 none; by name: -2 reader comments, -3 outside, -4 perhaps
+    outside) and its place in the tree."""
 
     tag: str
     verdict: int
@@ -76,6 +86,8 @@ class Costs:
 
     inside: float = 4.0
     outside: float = 4.0
+    named: float = 3.0
+    everyday: float = 1.8
     base: float = -1.2
     per_word: float = 0.09
     words_cap: float = 3.0
@@ -87,7 +99,11 @@ class Costs:
     scores: dict = field(default_factory=dict)
 
 
-def _verdict(tag: str, attributes: str, depth: int) -> int:
+def _words(name: str) -> set[str]:
+    return set(WORDS.findall(HUMP.sub(r"\1 \2", name).lower()))
+
+
+def _verdict(tag: str, attributes: str, parent: Element) -> int:
     if attributes and not attributes.isspace():
         names = {}
         for m in ATTRIBUTE.finditer(attributes):
@@ -95,14 +111,25 @@ def _verdict(tag: str, attributes: str, depth: int) -> int:
         if "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower():
             return -1
         role = names.get("role", "").strip().lower()
-        named = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{names.get('class', '')} {names.get('id', '')}").lower()))
         if tag not in ("html", "body"):
-            if named & COMMENT_WORDS:
-                return -2
+            tokens = [_words(t) for t in names.get("class", "").split()]
+            slug = _words(names.get("id", ""))
+            # Of a slug, only an id that says nothing but comments is a name.
+            if slug <= COMMENT_WORDS or not (tag in SLUGGED or (tag == "section" and _inside(parent))):
+                tokens.append(slug)
+            named = set().union(*tokens)
+            inside = tag in INSIDE_TAGS or role in INSIDE_ROLES
+            for t in tokens:
+                # An article is a comment if a whole class name says so; comments-open tells what stands beside it.
+                if t & COMMENT_WORDS and not t & LAYOUT_WORDS and (not inside or t <= COMMENT_WORDS | INSIDE_WORDS):
+                    return -2
             if role in OUTSIDE_ROLES:
                 return -1
-            if tag not in INSIDE_TAGS and named & OUTSIDE_WORDS and not named & LAYOUT_WORDS:
-                return -1
+            if not inside and not named & LAYOUT_WORDS:
+                if named & OUTSIDE_WORDS:
+                    return -1 if tag in OUTSIDE_TAGS else -3
+                if named & (EVERYDAY_WORDS | ANSWER_WORDS):
+                    return -1 if tag in OUTSIDE_TAGS else -4
             if role in INSIDE_ROLES or (named & INSIDE_WORDS and tag not in OUTSIDE_TAGS):
                 return 1
     if tag in OUTSIDE_TAGS:
@@ -110,6 +137,13 @@ def _verdict(tag: str, attributes: str, depth: int) -> int:
     return int(tag in INSIDE_TAGS)
 
 
+def _inside(e: Element | None) -> bool:
+    """Whether the nearest element with a verdict says so."""
+    while e is not None and not e.verdict:
+        e = e.parent
+    return e is not None and e.verdict == 1
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order: character references decoded, white space turned into single spaces, none empty."""
     root = Element("", 0, 0, None)
@@ -171,33 +205,41 @@ def blocks_of(html: str) -> list[Block]:
                 here = at.parent
             if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and here.tag == tag:
                 here = here.parent
-            here = Element(tag, _verdict(tag, attributes, here.depth), here.depth + 1, here)
+            here = Element(tag, _verdict(tag, attributes, here), here.depth + 1, here)
     flush()
     return out
 
 
 def score(b: Block, c: Costs) -> float:
-    """Above 0: more likely main text. The innermost decisive element counts most; then length, links and sentences."""
+    """Above 0: more likely main text. The innermost decisive element counts most; then length, links and sentences.
+
+    An element that is outside by its name only costs its blocks something, so that long text without links can outweigh it.
+    """
     words = b.text.count(" ") + 1
     s = c.base + min(c.words_cap, c.per_word * words) - c.link * b.linked / max(1, len(b.text))
     if b.text[-1] in ".!?:;\"'”»…)":
         s += c.sentence
     if b.element.tag in ("p", "blockquote", "pre") or b.element.tag in HEADINGS:
         s += c.paragraph
-    first, comment, inside = 0, False, False
+    first, comment, named = 0, False, 0.0
     at = b.element
     heading = at.tag in HEADINGS
     while at is not None:
         if at.verdict:
             if at.verdict == -2:
                 comment = True
+            if at.verdict < -2:
+                # What stands around it may still be outside for certain.
+                if first == 0:
+                    named = max(named, c.named if at.verdict == -3 else c.everyday)
             # A heading in an article's own header is its title.
-            if first == 0 and not (heading and at.tag == "header" and _within_article(at)):
+            elif first == 0 and not (heading and at.tag == "header" and _within_article(at)):
                 first = at.verdict
-            inside = inside or at.verdict == 1
         at = at.parent
-    if comment or first < 0:
+    if comment or first == -1:
         return min(s, c.words_cap) - c.outside - c.words_cap
+    if named:
+        return s - named
     return s + c.inside if first > 0 else s
 
 
