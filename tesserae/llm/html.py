@@ -30,6 +30,8 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset(("h1", "h2", "h3"))
 #: Their ids are slugs of what they say.
+#: Elements whose texts are short by nature: alone they say nothing for or against main text.
+SHORT = frozenset("li dt dd td th caption figcaption h4 h5 h6".split())
 SLUGGED = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset search".split())
 #: Words for what stands around a text; those that texts also use of themselves cost less.
@@ -96,6 +98,8 @@ class Costs:
     paragraph: float = 0.6
     adjacent: float = 0.5
     near: float = 0.3
+    tie: float = 8.0
+    short: int = 16
     scores: dict = field(default_factory=dict)
 
 
@@ -214,6 +218,7 @@ def score(b: Block, c: Costs) -> float:
     """Above 0: more likely main text. The innermost decisive element counts most; then length, links and sentences.
 
     An element that is outside by its name only costs its blocks something, so that long text without links can outweigh it.
+    A short item, cell or small heading without links and names scores 0 at least: its neighbours decide.
     """
     words = b.text.count(" ") + 1
     s = c.base + min(c.words_cap, c.per_word * words) - c.link * b.linked / max(1, len(b.text))
@@ -240,7 +245,13 @@ def score(b: Block, c: Costs) -> float:
         return min(s, c.words_cap) - c.outside - c.words_cap
     if named:
         return s - named
-    return s + c.inside if first > 0 else s
+    if first > 0:
+        return s + c.inside
+    return max(s, 0.0) if _undecided(b, words, c) else s
+
+
+def _undecided(b: Block, words: int, c: Costs) -> bool:
+    return b.element.tag in SHORT and words <= c.short and not b.linked
 
 
 def _within_article(e: Element) -> bool:
@@ -334,12 +345,12 @@ def label(blocks: Sequence[Block], c: Costs = Costs()) -> list[bool]:
             g.edge(s, i, x, 0.0)
         elif x < 0:
             g.edge(i, t, -x, 0.0)
-    for i in range(n - 1):
-        w = c.adjacent / (1 + tree_distance(blocks[i].element, blocks[i + 1].element))
-        g.edge(i, i + 1, w, w)
-        if i + 2 < n:
-            w = c.near / (1 + tree_distance(blocks[i].element, blocks[i + 2].element))
-            g.edge(i, i + 2, w, w)
+    for step, weight in ((1, c.adjacent), (2, c.near)):
+        for i in range(n - step):
+            far = 1 + tree_distance(blocks[i].element, blocks[i + step].element)
+            # Blocks without a score of their own follow what stands in the same subtree.
+            w = weight * c.tie / far**2 if scores[i] == 0.0 or scores[i + step] == 0.0 else weight / far
+            g.edge(i, i + step, w, w)
     return g.saturate(s, t)[:n]
 
 

@@ -25,3 +25,21 @@ def test_reader_comments_stay_out():
     for c in ('<div class="comments">', '<section id="comments">', '<ol class="comment-list"><li class="comment"><article class="comment-body">', '<div id="disqus_thread">'):
         assert html.main_text(f"<main><article><p>{SAID} Yes.</p></article>{c}{LONG}") == f"{SAID} Yes.", c
     assert html.main_text(f'<article>{LONG}</article><footer><div class="legal">{LONG}</div></footer>') == SAID
+
+
+def test_short_blocks_go_with_their_neighbours():
+    links = '<div><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul></div>'
+    lists = f"{LONG}<ul><li>Flour<li>Two eggs</ul><h4>Method</h4>{LONG}<table><tr><th>Oven<td>180 degrees<tr><th>Time<td>1 hour</table><dl><dt>Serves<dd>Four</dl>{LONG}"
+    want = f"{SAID}\nFlour\nTwo eggs\nMethod\n{SAID}\nOven\n180 degrees\nTime\n1 hour\nServes\nFour\n{SAID}"
+    assert html.main_text(f"<body>{links}<div id=page>{lists}</div>{links}</body>") == want
+    assert html.main_text(f"<body>{links}<div id=page>{LONG}<ul><li>Flour<li>Two eggs</ul></div>{links}</body>") == f"{SAID}\nFlour\nTwo eggs"
+    many = "".join(f"<tr><td>{i}<td>x" for i in range(3000))
+    assert html.main_text(f"<body>{links}<div>{LONG}<table>{many}</table>{LONG}</div></body>").count("\n") == 6001
+
+
+def test_short_blocks_among_boilerplate_stay_out():
+    items = "<ul><li>Flour<li>Two eggs</ul>"
+    assert html.main_text(f"<body><div><div>{items}</div></div><nav>x</nav></body>") == ""
+    assert html.main_text(f"<body><div id=page>{LONG}</div><div class=sidebar>{items}</div><footer>{items}</footer></body>") == SAID
+    side = '<p><a href="/a">One of the links</a></p>'
+    assert html.main_text(f"<body><div><div>{LONG}{LONG}</div></div>{side}<div><div>{side}{items}{side}</div></div></body>") == f"{SAID}\n{SAID}"
