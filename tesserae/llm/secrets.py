@@ -37,6 +37,15 @@ CLASSES: tuple[EntropyClass, ...] = (
     EntropyClass("hex", r"^[0-9a-fA-F]+$", 20, 3.0),
     EntropyClass("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 20, 3.7),
 )
+#: For redaction every candidate has a class: also random tokens of one case and digits, or of letters alone. The query op5 keeps
+#: to CLASSES, as its SQL does. Names made of parts, and words, reach more bits by chance and need more.
+ALL_CLASSES: tuple[EntropyClass, ...] = (
+    *CLASSES,
+    EntropyClass("lower_digits", r"^(?=.*[0-9])[a-z0-9+=]+$", 20, 3.5),
+    EntropyClass("upper_digits", r"^(?=.*[0-9])[A-Z0-9+=]+$", 20, 3.4),
+    EntropyClass("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+=]+$", 20, 3.9),
+    EntropyClass("other", r"^[A-Za-z0-9+/_=-]+$", 20, 4.0),
+)
 #: Suppress entropy candidates that are known not to be secrets: documentation keys, UUID-like identifiers, paths.
 ALLOW: tuple[str, ...] = (
     r"EXAMPLE",
@@ -139,7 +148,7 @@ def _ordered(spans: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def scan(docs: DataFrame, text: str = "text", to: str = "secrets") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", to: str = "secrets", classes: tuple[EntropyClass, ...] = CLASSES) -> DataFrame:
     """``docs`` and a struct ``to``: ``base`` and ``spans``, arrays of (start, rank, end, kind), ascending.
 
     ``base`` has the three pattern kinds, ``spans`` also the entropy windows; base spans always stay. A null text
@@ -153,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text", to: str = "secrets") -> DataFrame:
         raw,
         F.struct(
             F.concat(assign, _matches(value, ACCESS, "access"), _matches(value, HEX, "hex")).alias("base"),
-            entropy_spans(value).alias("more"),
+            entropy_spans(value, classes).alias("more"),
         ),
     )
     base, more = F.col(raw)["base"], F.col(raw)["more"]
@@ -186,7 +195,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     No document is dropped. Null texts stay null; ``n_chars`` is only touched where it exists and the text changed.
     """
     to, clean = fresh(docs, "__secrets"), fresh(docs, "__clean")
-    found = scan(docs, to=to)
+    found = scan(docs, to=to, classes=ALL_CLASSES)
     hit = F.size(F.col(to)["spans"]) > 0
     # The redacted text is a column of its own first: in one projection, names inside lambdas would mean the new text.
     cleaned = found.withColumn(clean, redact(F.col("text"), F.col(to)["spans"]))
