@@ -22,7 +22,9 @@ from tesserae.runtime import ship
 
 # Fixed vocabularies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg iframe object canvas title textarea math select".split())
+DROPPED = frozenset("script style noscript template svg iframe title textarea select".split())
+#: Their text is no markup: without an end tag it goes on to the end of the page.
+RAW = frozenset("script style title textarea iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body br-block button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot "
@@ -191,7 +193,7 @@ def blocks_of(html: str) -> list[Block]:
         if tag in DROPPED:
             if not attributes.endswith("/") or tag != "svg":
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, m.end())
-                skip_to = end.end() if end else len(html)
+                skip_to = end.end() if end else len(html) if tag in RAW else m.end()
             continue
         if tag == "br":
             pieces.append(" ")

@@ -43,3 +43,11 @@ def test_short_blocks_among_boilerplate_stay_out():
     assert html.main_text(f"<body><div id=page>{LONG}</div><div class=sidebar>{items}</div><footer>{items}</footer></body>") == SAID
     side = '<p><a href="/a">One of the links</a></p>'
     assert html.main_text(f"<body><div><div>{LONG}{LONG}</div></div>{side}<div><div>{side}{items}{side}</div></div></body>") == f"{SAID}\n{SAID}"
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = '<article><p>Here is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>a figure</object> and <canvas>a drawing</canvas>.</p>'
+    assert html.main_text(page) == "Here is x=2 and a figure and a drawing."
+    for open_ in ("<math/>", "<object>", "<canvas>", "<select>", "<template>", "<svg>", "<noscript>"):
+        assert html.main_text(f"<article>{LONG}{open_}{LONG}") == f"{SAID}\n{SAID}", open_
+    assert html.main_text(f"<article>{LONG}<textarea>{LONG}") == SAID
