@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = os.path.join(tempfile.gettempdir(), f"tesserae-{os.getuid()}-{os.getpid()}")
     return f"file://{made}"
@@ -36,7 +38,45 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1][path] = out
+    return out
+
+
+#: Tables written inside the open ``scratch`` blocks, by path.
+_open: list[dict[str, DataFrame]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes inside the block go when it ends, but for those passed to the function it yields.
+
+    What is kept belongs to the block around it, if there is one; else it stays until the shared folder is cleared, since
+    the caller's result still reads it.
+    """
+    made: dict[str, DataFrame] = {}
+    kept: list[DataFrame] = []
+    _open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path, df in made.items():
+            if not any(df is k for k in kept):
+                remove(spark, path)
+            elif _open:
+                _open[-1][path] = df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

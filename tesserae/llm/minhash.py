@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import fresh, materialize, small_or_plain
+from tesserae.llm._common import fresh, materialize, scratch, small_or_plain
 from tesserae.llm.textops import U, mix, per_row, shingles
 from tesserae.runtime import ship
 
@@ -27,10 +27,13 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
-#: Members of a bucket are checked against up to so many of them in turn, while over a hundredth of these checks find links.
+#: Members outside the largest component of a neighbourhood are checked against its spokesmen in up to so many turns, while over a
+#: hundredth of these checks find links.
 STARS = 10
-#: The rest of a bucket is compared in blocks of about so many members.
+#: What is left of a neighbourhood is compared in blocks of about so many members.
 BLOCK = 1024
+#: A party of a neighbourhood is spread over so many tasks where it meets a table that is too large to broadcast.
+SALTS = 16
 #: Registers of the longer signature that the blocks are compared by.
 FINE = 768
 _LAST = (1 << 63) - 1
@@ -170,28 +173,34 @@ def _least(registers: int, similarity: float, deviations: float) -> int:
 def _compare_blocks(similarity: float):
     """Pairs across components whose sketches agree often enough: within four standard deviations of ``similarity``.
 
-    A pair that shares several buckets is left to the first of its bands. A first look at 128 registers allows five deviations.
+    A group holds rows of one neighbourhood: a block of its minority and a block of the rest (``major``), or one or two blocks
+    of the minority. ``s`` is the similarity to the neighbourhood's centre, and 1 - similarity is a metric, so two members
+    whose ``s`` differ by more than 1 - ``similarity`` are no pair. A first look at 128 registers allows five deviations.
     """
     few, least_few, least = 128, _least(128, similarity, 5.0), _least(FINE, similarity, 4.0)
+    gap = 1.0 - similarity + 1e-9
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["block"].to_numpy() == pdf["block"].min()
-        node, label, bucket = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["bucket"].iloc[0]
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), FINE)
-        bands = np.stack(pdf["bands"].to_numpy())
+        pdf = pdf.sort_values("s", kind="stable")
+        minor = ~pdf["major"].to_numpy(dtype=bool)
+        block = pdf["block"].to_numpy()
+        first = minor & (block == block[minor].min()) if minor.any() else minor
         left = np.flatnonzero(first)
-        right = left if first.all() else np.flatnonzero(~first)
-        near = np.ascontiguousarray(sketch[right][:, :few])
+        right = np.flatnonzero(~first)
+        if not len(right) and minor.all():
+            right = left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        node, label, s = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["s"].to_numpy()
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), FINE)
+        near, other, away = np.ascontiguousarray(sketch[right][:, :few]), label[right], s[right]
         out = []
         for k in left.tolist():
-            some = np.flatnonzero(label[right] != label[k])
+            lo, hi = np.searchsorted(away, s[k] - gap), np.searchsorted(away, s[k] + gap, side="right")
+            some = lo + np.flatnonzero(other[lo:hi] != label[k])
             some = some[(near[some] == sketch[k, :few]).sum(1) >= least_few]
             some = some[(sketch[right[some]] == sketch[k]).sum(1) >= least]
-            if len(some):
-                others = right[some]
-                shared = bands[others] == bands[k]
-                own = bands[k][shared.argmax(1)] == bucket
-                out += [(min(node[k], j), max(node[k], j)) for j in node[others[own]].tolist()]
+            out += [(min(node[k], j), max(node[k], j)) for j in node[right[some]].tolist()]
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     return run
@@ -246,25 +255,65 @@ def _digest():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
+def _parties(hoods: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, tops, minor) of the neighbourhoods that hold several components.
+
+    ``placed`` is every member with its label. ``tops`` has one row per mixed neighbourhood: its largest component and that
+    one's spokesman of this ``turn``. ``minor`` has the other components of it. Members are counted by (centre, label) before anything
+    is gathered by centre, so a neighbourhood that holds a third of all texts is one row per component.
+    """
+    placed = hoods.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rank = F.xxhash64(F.lit(turn), F.col("node"))
+    parties = placed.groupBy("center", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("node", rank).alias("rep"), F.min("s").alias("lo"), F.max("s").alias("hi")
+    )
+    parties = materialize(parties, "parties")
+    size = F.struct("n", "label")
+    tops = parties.groupBy("center").agg(
+        F.max_by("label", size).alias("major"), F.max_by("rep", size).alias("major_rep"), F.max("n").alias("n_major"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")
+    )
+    # Of two members one is the centre, and everyone has been compared with the centre.
+    tops = materialize(tops.filter("k > 1 and m > 2"), "tops")
+    minor = parties.join(small_or_plain(tops.select("center", "major")), "center").filter("label <> major").drop("major")
+    return placed, tops, materialize(minor, "minor")
+
+
+def _of_parties(placed: DataFrame, parties: DataFrame) -> DataFrame:
+    """Members of ``parties`` (center, label, ...): by broadcast if these are few, else salted, as one party may be a third of all."""
+    few = small_or_plain(parties)
+    if few is not parties:
+        return placed.join(few, ["center", "label"])
+    salted = parties.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(4), F.col("node")), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["center", "label", "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept, digest.
 
     A class is a connected component of texts whose shingle multisets overlap (weighted Jaccard) by ``similarity`` or more;
     equal texts always share one. ``class_id`` is the smallest doc_id of the class, and exactly one row of it is ``kept``.
     A text of one to four words is one shingle. A null, empty or blank text has no shingles and is a class of its own; so its
-    class_id is its own doc_id. Null doc_ids count last; a class of nothing else has a null class_id.
-
-    Within a band's bucket all members are checked against its first. Where a bucket still holds several components, another
-    of its members is checked against those outside its component, again while that finds links. Then the signatures of all
-    members that are still in different components are compared, block by block, and every pair that may reach ``similarity`` (four
-    standard deviations allowed) is checked. So no candidate pair is given up, a bucket of copies costs a few checks per
-    member, and no task holds more than two blocks.
+    class_id is its own doc_id. Null doc_ids count last; a class of nothing else has a null class_id. An empty table gives an
+    empty result.
+
+    The first text of a band's bucket is its centre, and all that share a bucket with a centre are its neighbourhood. Every member is
+    checked against the centre. Where a neighbourhood still holds several components, members outside its largest one are checked
+    against a member of that one and of the largest of their own, again while that finds links. Then the signatures of what is
+    still outside are compared with all members of other components, block by block, and every pair that may reach
+    ``similarity`` (four standard deviations allowed) is checked. So no candidate pair is given up, a neighbourhood of copies costs
+    a few checks per member, what is sent again is the minority only, and no task holds more than two blocks.
     """
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return _near_duplicates(docs, similarity, keep)
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, keep) -> DataFrame:
     signed = docs.select(F.col("doc_id"), _digest().alias("digest"), F.col("text")).mapInArrow(
         _sign, "doc_id long, digest binary, n long, bands array<long>"
     )
-    rows = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
+    rows = keep(materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "signed"))
     worded = rows.filter("n > 0")
     first = F.coalesce("doc_id", F.lit(_LAST))
     texts = materialize(
@@ -276,10 +325,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = worded.select(F.col("rid").alias("node"), "n", "bands").join(texts.select("node"), "node", "left_semi")
     members = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
-    buckets = members.join(shared.select("bucket", "center"), "bucket").filter("node <> center")
-    buckets = materialize(buckets, "buckets")
-    pairs = buckets.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = members.join(shared.select("bucket", "center"), "bucket").filter("node <> center")
+    pairs = materialize(pairs.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(texts.join(ends, "node", "left_semi").select("node", "digest"), "wanted")
     again = docs.select(_digest().alias("digest"), "text").join(small_or_plain(wanted), "digest")
@@ -295,48 +342,64 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     near = verified(pairs, "near")
     done, links = near, near.filter(F.col("similarity") >= similarity)
     labels = components(links)
-    everyone = buckets.select("bucket", "node").unionByName(buckets.select("bucket", F.col("center").alias("node")).distinct())
-
-    def labelled_members() -> DataFrame:
-        """Members of the buckets that hold more than one component."""
-        placed = everyone.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-        return placed.join(mixed.filter("lo < hi and m > 2").select("bucket"), "bucket", "left_semi")
+    hoods = near.select(F.col("a").alias("center"), F.col("b").alias("node"), F.col("similarity").alias("s"))
+    hoods = hoods.unionByName(near.select(F.col("a").alias("center"), F.col("a").alias("node"), F.lit(1.0).alias("s")).distinct())
 
     def ordered_pairs(df: DataFrame) -> DataFrame:
         both = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return both.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
-    for r in range(1, STARS):
-        open_ = materialize(labelled_members(), "open")
-        rank = F.xxhash64(F.lit(r), F.col("node"))
-        stars = open_.groupBy("bucket").agg(F.min_by("node", rank).alias("a"), F.min_by("label", rank).alias("la"))
-        facing = open_.join(stars, "bucket").filter("label <> la").select("a", F.col("node").alias("b"))
+    for turn in range(1, STARS):
+        placed, tops, minor = _parties(hoods, labels, turn)
+        if minor.isEmpty():
+            break
+        size = F.struct("n", "label")
+        second = minor.groupBy("center").agg(F.max_by("label", size).alias("second"), F.max_by("rep", size).alias("second_rep"))
+        spoken = minor.select("center", "label").join(tops.select("center", "major_rep"), "center").join(second, "center")
+        spoken = materialize(spoken, "spoken")
+        facing = _of_parties(placed, spoken)
+        facing = facing.select("node", F.explode(F.array("major_rep", F.when(F.col("second") != F.col("label"), F.col("second_rep")))).alias("rep"))
+        facing = facing.filter("rep is not null").select(F.col("rep").alias("a"), F.col("node").alias("b"))
         found = verified(materialize(ordered_pairs(facing), "pairs"), "near")
         done = done.unionByName(found)
         joins = found.filter(F.col("similarity") >= similarity)
         labels = merged(labels, joins)
         if joins.count() <= found.count() / 100:
             break
-    # What is left: pairs across components, by blocks of each open bucket.
-    open_ = materialize(labelled_members(), "open")
-    fine = codes.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, sketch binary")
-    fine = materialize(fine.join(worded.select(F.col("rid").alias("node"), "bands"), "node"), "fine")
-    sizes = open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks")).cast("int")
-    facing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = open_.join(sizes, "bucket").withColumn("block", block).select("bucket", "node", "label", "block", F.explode(facing).alias("at"))
-    dealt = dealt.join(fine, "node").select("bucket", "at", "node", "label", "block", "sketch", "bands")
-    across = dealt.groupBy("bucket", "at").applyInPandas(_compare_blocks(similarity), "a long, b long")
-    more = verified(materialize(ordered_pairs(across), "across"), "near-across").filter(F.col("similarity") >= similarity)
-    if not more.isEmpty():
-        labels = merged(labels, more)
+    # What is left: pairs between the minority of a neighbourhood and its other members, by blocks.
+    placed, tops, minor = _parties(hoods, labels, 0)
+    if not minor.isEmpty():
+        gap = 1.0 - similarity + 1e-9
+        left = minor.groupBy("center").agg(F.sum("n").alias("n_minor"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        sizes = tops.join(left, "center").select(
+            "center", "major", "k", F.ceil(F.col("n_minor") / BLOCK).cast("int").alias("minors"), F.ceil(F.col("n_major") / BLOCK).cast("int").alias("majors"),
+            (F.col("lo") - gap).alias("lo"), (F.col("hi") + gap).alias("hi"),
+        )
+        sizes = materialize(sizes, "sizes")
+        deal = lambda n: F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col(n)).cast("int")
+        place = lambda i, j, within: F.struct(i.alias("i"), j.alias("j"), F.lit(within).alias("within"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        few = _of_parties(placed, minor.select("center", "label").join(sizes, "center")).withColumn("block", deal("minors"))
+        against = F.transform(upto("majors"), lambda j: place(F.col("block"), j, False))
+        among = F.transform(upto("minors"), lambda k: place(F.least(k, F.col("block")), F.greatest(k, F.col("block")), True))
+        at = F.when(F.col("k") > 2, F.concat(against, among)).otherwise(against)
+        few = few.select("center", "node", "label", "s", "block", F.lit(False).alias("major"), F.explode(at).alias("at"))
+        most = _of_parties(placed, sizes.withColumnRenamed("major", "label")).filter("s between lo and hi").withColumn("block", deal("majors"))
+        facing = F.transform(upto("minors"), lambda i: place(i, F.col("block"), False))
+        most = most.select("center", "node", "label", "s", "block", F.lit(True).alias("major"), F.explode(facing).alias("at"))
+        dealt = materialize(few.unionByName(most), "dealt")
+        fine = codes.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, sketch binary")
+        dealt = dealt.join(materialize(fine, "fine"), "node").select("center", "at", "node", "label", "s", "block", "major", "sketch")
+        across = dealt.groupBy("center", "at").applyInPandas(_compare_blocks(similarity), "a long, b long")
+        more = verified(materialize(ordered_pairs(across), "across"), "near-across").filter(F.col("similarity") >= similarity)
+        if not more.isEmpty():
+            labels = merged(labels, more)
 
     labelled = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(
         F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("node", first).alias("keeper")
     )
-    by_text = materialize(labelled.select("digest", "label").join(classes, "label").drop("label"), "classes")
+    by_text = keep(materialize(labelled.select("digest", "label").join(classes, "label").drop("label"), "classes"))
     joined = worded.select("rid", "doc_id", "digest").join(by_text, "digest")
     with_words = joined.select("doc_id", "class_id", "class_size", (F.col("rid") == F.col("keeper")).alias("kept"), "digest")
     without = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "digest")
