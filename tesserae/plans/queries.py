@@ -505,11 +505,15 @@ def buffered_extent(spark, sf_dir):
     return spatial.buffered(spatial.extent(points))
 
 
-_EFFECTS = "e AS (SELECT c_nationkey cell, round(avg(c_acctbal), 2) rho FROM customer GROUP BY 1)"
+# Means in whole cents, rounded half up in integers: a mean of doubles can fall on either side of a tie.
+_EFFECTS = """c AS (SELECT c_nationkey cell, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT) + 1000000) AS BIGINT) s, count(*) n FROM customer GROUP BY 1),
+ e AS (SELECT cell, ((2 * s + n) // (2 * n) - 1000000) / 100.0::DOUBLE rho FROM c)"""
 
 
 def _effects(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("cell")).agg(F.round(F.avg("c_acctbal"), 2).alias("rho"))
+    cents = F.round(F.col("c_acctbal") * 100).cast("long") + 1_000_000
+    sums = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("cell")).agg(F.sum(cents).alias("s"), F.count(F.lit(1)).alias("n"))
+    return sums.select("cell", ((F.expr("(2 * s + n) div (2 * n)") - 1_000_000) / 100.0).alias("rho"))
 
 
 _W = "CASE d WHEN -1 THEN pow(1 - t, 3) / 6 WHEN 0 THEN (3 * pow(t, 3) - 6 * t * t + 4) / 6 WHEN 1 THEN (-3 * pow(t, 3) + 3 * t * t + 3 * t + 1) / 6 ELSE pow(t, 3) / 6 END"

@@ -18,6 +18,13 @@ def test_matches_sql(spark, con, name):
     assert oracle.rows_of(QUERIES[name](spark, SF)) == oracle.rows_of_sql(con, SQL[name])
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+@pytest.mark.parametrize("name", ["wrast_rho", "interpolate_rho"])
+def test_effects_at_every_scale(spark, name, sf):
+    at = f"/root/testdata/sf{sf}"
+    assert oracle.rows_of(QUERIES[name](spark, at)) == oracle.rows_of_sql(oracle.connect(at), SQL[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"icar_fit", "cross_validation"}))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
