@@ -37,17 +37,19 @@ def secret_scans() -> str:
  (SELECT rid, unnest(f) m, unnest(regexp_split_to_array(t, {p})[1:len(f)]) g, unnest(range(0, len(f))) i FROM (SELECT rid, t, regexp_extract_all(t, {p}) f FROM d) WHERE len(f) > 0))"""
 
     allow = " OR ".join(f"regexp_matches(m, {_text(p)})" for p in secrets.ALLOW)
-    hex_, mixed = secrets.CLASSES
+    size = secrets.WINDOW
+    fits = lambda c: " AND ".join(f"regexp_matches(m, {_text(x)})" for x in (c.pattern, *c.needs))
+    most = "CASE " + " ".join(f"WHEN {fits(c)} THEN {c.most}" for c in secrets.CLASSES) + " END"
+    sums = "[" + ", ".join(str(secrets.summand(c)) for c in range(size + 1)) + "]::BIGINT[]"
     names = "CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') t, row_number() OVER () rid FROM documents),
  a AS ({found(0, secrets.ASSIGN)}), base AS (SELECT rid, k, s, e FROM a WHERE length(regexp_extract(m, {_text(secrets.ASSIGN)}, 2)) >= 6
   UNION ALL SELECT rid, k, s, e FROM ({found(1, secrets.ACCESS)}) UNION ALL SELECT rid, k, s, e FROM ({found(2, secrets.HEX)})),
- c AS (SELECT *, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {hex_.bits}::DOUBLE WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN {mixed.bits}::DOUBLE END least
-  FROM ({found(3, secrets.CANDIDATE)}) WHERE NOT ({allow})),
- p AS (SELECT rid, s, e, least, m, unnest(range(1, length(m) - {hex_.window} + 2)) p FROM c WHERE least IS NOT NULL),
- ch AS (SELECT rid, s, e, least, p, unnest(string_split(substr(m, p, {hex_.window}), '')) x FROM p),
- n AS (SELECT rid, s, e, least, p, x, count(*)::DOUBLE n FROM ch GROUP BY ALL), h AS (SELECT rid, s, e, least, p, log2({hex_.window}.0::DOUBLE) - sum(n * log2(n)) / {hex_.window} h FROM n GROUP BY ALL),
- more AS (SELECT DISTINCT rid, 3 k, s, e FROM h WHERE h >= least - 1e-12),
+ c AS (SELECT *, {most} most FROM ({found(3, secrets.CANDIDATE)}) WHERE NOT ({allow})),
+ p AS (SELECT rid, s, e, most, m, unnest(range(1, length(m) - {size} + 2)) p FROM c WHERE most IS NOT NULL),
+ ch AS (SELECT rid, s, e, most, p, unnest(string_split(substr(m, p, {size}), '')) x FROM p),
+ n AS (SELECT rid, s, e, most, p, x, count(*) n FROM ch GROUP BY ALL), h AS (SELECT rid, s, e, most, p, sum(({sums})[n + 1]) h FROM n GROUP BY ALL),
+ more AS (SELECT DISTINCT rid, 3 k, s, e FROM h WHERE h <= most),
  b1 AS (SELECT rid, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k) x, count(*) FILTER (k = 0) n0, count(*) FILTER (k = 1) n1, count(*) FILTER (k = 2) n2 FROM base GROUP BY rid),
  s1 AS (SELECT rid, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k) x FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY rid)
  SELECT doc_id, coalesce(n0, 0) n_assign, coalesce(n1, 0) n_access, coalesce(n2, 0) n_hex, sha256(coalesce(b1.x, '')) base_sha256, coalesce(s1.x, '') spans FROM d LEFT JOIN b1 USING (rid) LEFT JOIN s1 USING (rid)"""
