@@ -118,39 +118,43 @@ def telling(rows: _Rows, grades: np.ndarray, classes: int, bits: int) -> np.ndar
     return out
 
 
-def fit_ordinal(rows: _Rows, grades: np.ndarray, classes: int, bits: int = BITS, l2: float = 1e-5, steps: int = 250, rate: float = 0.25) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam on the full sample; grades weigh equally in total.
+def cuts_of(first: float, gaps: np.ndarray) -> np.ndarray:
+    """Thresholds as a first value plus positive gaps, so that they stay ordered."""
+    return first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+
+
+def loss_and_gradient(rows: _Rows, grades: np.ndarray, weight: np.ndarray, w: np.ndarray, first: float, gaps: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Negative weighted log-likelihood plus l2 / 2 * |w|^2, and its gradient by (w, first, gaps)."""
+    p = 1.0 / (1.0 + np.exp(-np.clip(rows.dot(w)[:, None] - cuts_of(first, gaps)[None, :], -30, 30)))
+    # P(grade = y) = upper - lower with upper = P(grade > y - 1), lower = P(grade > y).
+    wide = np.concatenate([np.ones((rows.n, 1)), p, np.zeros((rows.n, 1))], 1)
+    slope = wide * (1.0 - wide)
+    at = np.arange(rows.n)
+    chance = np.maximum(wide[at, grades] - wide[at, grades + 1], 1e-9)
+    d_upper, d_lower = slope[at, grades] / chance, slope[at, grades + 1] / chance
+    d_score = -(d_upper - d_lower) * weight
+    d_cuts = np.zeros(len(gaps) + 3)
+    np.add.at(d_cuts, grades, d_upper * weight)
+    np.add.at(d_cuts, grades + 1, -d_lower * weight)
+    tail = np.cumsum(d_cuts[1:-1][::-1])[::-1]
+    loss = float(-(np.log(chance) * weight).sum() + l2 / 2 * (w**2).sum())
+    return loss, np.concatenate([rows.back(d_score, len(w)) + l2 * w, [tail[0]], tail[1:] * np.exp(gaps)])
 
-    Thresholds are a first value plus positive gaps, so they stay ordered.
-    """
-    size = (1 << bits) + 2 * SHAPES + 5
-    chosen = telling(rows, grades, classes, bits)
-    rows = rows.only(chosen)
+
+def fit_ordinal(rows: _Rows, grades: np.ndarray, classes: int, bits: int = BITS, l2: float = 1e-5, steps: int = 250, rate: float = 0.25) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by Adam on the full sample; grades weigh equally in total."""
+    size = (1 << bits) + 2 * SHAPES + rows.chars.shape[1]
+    rows = rows.only(telling(rows, grades, classes, bits))
     w, first, gaps = np.zeros(size), -1.0, np.zeros(max(0, classes - 2))
     share = np.bincount(grades, minlength=classes).astype(float)
     weight = (rows.n / (classes * np.maximum(share, 1)))[grades] / max(1, rows.n)
     m, v = np.zeros(size + classes - 1), np.zeros(size + classes - 1)
     for t in range(1, steps + 1):
-        cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        z = rows.dot(w)[:, None] - cuts[None, :]
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-        # P(grade = y) = upper - lower with upper = P(grade > y - 1), lower = P(grade > y).
-        wide = np.concatenate([np.ones((rows.n, 1)), p, np.zeros((rows.n, 1))], 1)
-        slope = wide * (1.0 - wide)
-        at = np.arange(rows.n)
-        chance = np.maximum(wide[at, grades] - wide[at, grades + 1], 1e-9)
-        d_upper, d_lower = slope[at, grades] / chance, slope[at, grades + 1] / chance
-        d_score = -(d_upper - d_lower) * weight
-        d_cuts = np.zeros(classes + 1)
-        np.add.at(d_cuts, grades, d_upper * weight)
-        np.add.at(d_cuts, grades + 1, -d_lower * weight)
-        d_cuts = d_cuts[1:-1]
-        tail = np.cumsum(d_cuts[::-1])[::-1]
-        g = np.concatenate([rows.back(d_score, size) + l2 * w, [tail[0]], tail[1:] * np.exp(gaps)])
+        _, g = loss_and_gradient(rows, grades, weight, w, first, gaps, l2)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, first, gaps = w - step[:size], first - step[size], gaps - step[size + 1 :]
-    return OrdinalModel(w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]), bits)
+    return OrdinalModel(w, cuts_of(first, gaps), bits)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -165,7 +169,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, ratings: DataFrame, classes: int = 3, rows: int = FIT_ROWS, bits: int = BITS) -> OrdinalModel:
     """Fit on at most ``rows`` rated documents, chosen by a hash of their ids, balanced over the grades as far as they go.
 
-    Only hashed features leave the executors. Without a rated document every score is 0.
+    Only hashed features leave the executors. Of rows that repeat a doc_id the least text stands for all, so at most ``rows`` rows
+    are gathered. Null ids have no rating. Without a rated document every score is 0.
     """
     ship(docs.sparkSession)
     wanted = rows // classes
@@ -184,7 +189,7 @@ def fit(docs: DataFrame, ratings: DataFrame, classes: int = 3, rows: int = FIT_R
             )
 
     # The picks number at most ``rows``, so they may be broadcast.
-    joined = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("grade", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
     got = joined.mapInArrow(run, "grade int, idx binary, val binary, chars array<double>").toArrow()
     if got.num_rows == 0:
         return OrdinalModel(np.zeros((1 << bits) + 2 * SHAPES + 5), np.arange(classes - 1, dtype=float), bits)
@@ -198,7 +203,9 @@ def fit(docs: DataFrame, ratings: DataFrame, classes: int = 3, rows: int = FIT_R
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", to: str = "rating") -> DataFrame:
     """``docs`` with a struct ``to`` of expected_grade, tail_probability (of the top grade) and at_least (of grade 1 or more).
 
-    Null and empty texts have no features and get the score 0. ``to`` must be a new name.
+    A text without a word (null, empty, blank, only signs) says nothing for itself: all three are 0, so it is never kept. Whole
+    texts of any length are read; rows stand alone, so repeats agree, and an empty table gives an empty result. An existing
+    column ``to`` is replaced.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.bits))
@@ -211,8 +218,9 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", to: str = "r
             values, parts = t.tolist(), []
             for k in range(0, len(values), 1000):
                 some = values[k : k + 1000]
-                rows = _Rows(list(features(pa.array(some, pa.string(), from_pandas=True), bits)), character_features(some))
-                parts.append(m.tails(rows.dot(m.weights)))
+                feats = list(features(pa.array(some, pa.string(), from_pandas=True), bits))
+                rows = _Rows(feats, character_features(some))
+                parts.append(m.tails(rows.dot(m.weights)) * np.array([len(i) > 0 for i, _ in feats])[:, None])
             p = np.concatenate(parts) if parts else np.zeros((0, len(thresholds)))
             yield pd.DataFrame({"expected_grade": p.sum(1), "tail_probability": p[:, -1], "at_least": p[:, 0]})
 
