@@ -32,6 +32,8 @@ ROWS = 6
 STARS = 10
 #: What is left of a neighbourhood is compared in blocks of about so many members.
 BLOCK = 1024
+#: A block has more, smaller parts where its members' shingles would number more than this.
+BLOCK_CODES = 1 << 21
 #: A party of a neighbourhood is spread over so many tasks where it meets a table that is too large to broadcast.
 SALTS = 16
 #: Registers of the longer signature that the blocks are compared by.
@@ -147,12 +149,16 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["node", "codes"])
 
 
+_VERIFIED = "a long, b long, similarity double, size_a long, size_b long"
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, codes of a, codes of b) -> (a, b, similarity)."""
+    """(a, b, codes of a, codes of b) -> (a, b, similarity, number of codes of a, of b)."""
     for t in batches:
-        left, right = t.column(2), t.column(3)
-        s = [overlap(np.frombuffer(left[i].as_py(), dtype=U), np.frombuffer(right[i].as_py(), dtype=U)) for i in range(t.num_rows)]
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+        left, right = ([np.frombuffer(x.as_py(), dtype=U) for x in t.column(i)] for i in (2, 3))
+        s = [overlap(x, y) for x, y in zip(left, right, strict=True)]
+        sizes = [pa.array([len(x) for x in side], pa.int64()) for side in (left, right)]
+        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(s, pa.float64()), *sizes], names=["a", "b", "similarity", "size_a", "size_b"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +177,19 @@ def _least(registers: int, similarity: float, deviations: float) -> int:
 
 
 def _compare_blocks(similarity: float):
-    """Pairs across components whose sketches agree often enough: within four standard deviations of ``similarity``.
+    """Links between the components of a group: enough of them to join whatever its links join, at most one per member.
 
     A group holds rows of one neighbourhood: a block of its minority and a block of the rest (``major``), or one or two blocks
     of the minority. ``s`` is the similarity to the neighbourhood's centre, and 1 - similarity is a metric, so two members
-    whose ``s`` differ by more than 1 - ``similarity`` are no pair. A first look at 128 registers allows five deviations.
+    whose ``s`` differ by more than 1 - ``similarity`` are no pair. Pairs whose sketches agree often enough, within four standard
+    deviations of ``similarity``, are checked exactly, unless links found before have joined them. A first look at 128
+    registers allows five deviations.
     """
     few, least_few, least = 128, _least(128, similarity, 5.0), _least(FINE, similarity, 4.0)
     gap = 1.0 - similarity + 1e-9
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s", kind="stable")
+        pdf = pdf.sort_values(["s", "node"], kind="stable")
         minor = ~pdf["major"].to_numpy(dtype=bool)
         block = pdf["block"].to_numpy()
         first = minor & (block == block[minor].min()) if minor.any() else minor
@@ -189,19 +197,25 @@ def _compare_blocks(similarity: float):
         right = np.flatnonzero(~first)
         if not len(right) and minor.all():
             right = left
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        node, label, s = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["s"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), FINE)
-        near, other, away = np.ascontiguousarray(sketch[right][:, :few]), label[right], s[right]
-        out = []
-        for k in left.tolist():
-            lo, hi = np.searchsorted(away, s[k] - gap), np.searchsorted(away, s[k] + gap, side="right")
-            some = lo + np.flatnonzero(other[lo:hi] != label[k])
-            some = some[(near[some] == sketch[k, :few]).sum(1) >= least_few]
-            some = some[(sketch[right[some]] == sketch[k]).sum(1) >= least]
-            out += [(min(node[k], j), max(node[k], j)) for j in node[right[some]].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            node, label, s = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["s"].to_numpy()
+            codes = [np.frombuffer(x, dtype=U) for x in pdf["codes"]]
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), FINE)
+            near, away = np.ascontiguousarray(sketch[right][:, :few]), s[right]
+            # ``joined`` names the component of each member as far as the links of this group tell.
+            joined = np.unique(label, return_inverse=True)[1]
+            for k in left.tolist():
+                lo, hi = np.searchsorted(away, s[k] - gap), np.searchsorted(away, s[k] + gap, side="right")
+                some = lo + np.flatnonzero(joined[right[lo:hi]] != joined[k])
+                some = some[(near[some] == sketch[k, :few]).sum(1) >= least_few]
+                some = right[some]
+                agree = (sketch[some] == sketch[k]).sum(1)
+                for j in some[np.argsort(-agree, kind="stable")][: np.count_nonzero(agree >= least)].tolist():
+                    if joined[j] != joined[k] and overlap(codes[k], codes[j]) >= similarity:
+                        joined[joined == joined[j]] = joined[k]
+                        out.append((min(node[k], node[j]), max(node[k], node[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -265,12 +279,12 @@ def _parties(hoods: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame,
     placed = hoods.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rank = F.xxhash64(F.lit(turn), F.col("node"))
     parties = placed.groupBy("center", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("node", rank).alias("rep"), F.min("s").alias("lo"), F.max("s").alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min_by("node", rank).alias("rep"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("size").alias("codes")
     )
     parties = materialize(parties, "parties")
     size = F.struct("n", "label")
     tops = parties.groupBy("center").agg(
-        F.max_by("label", size).alias("major"), F.max_by("rep", size).alias("major_rep"), F.max("n").alias("n_major"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")
+        F.max_by("label", size).alias("major"), F.max_by("rep", size).alias("major_rep"), F.max("n").alias("n_major"), F.max_by("codes", size).alias("c_major"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")
     )
     # Of two members one is the centre, and everyone has been compared with the centre.
     tops = materialize(tops.filter("k > 1 and m > 2"), "tops")
@@ -299,9 +313,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     The first text of a band's bucket is its centre, and all that share a bucket with a centre are its neighbourhood. Every member is
     checked against the centre. Where a neighbourhood still holds several components, members outside its largest one are checked
-    against a member of that one and of the largest of their own, again while that finds links. Then the signatures of what is
+    against a member of that one and of the largest of their own, again while that finds links. Then longer signatures of what is
     still outside are compared with all members of other components, block by block, and every pair that may reach
-    ``similarity`` (four standard deviations allowed) is checked. So no candidate pair is given up, a neighbourhood of copies costs
+    ``similarity`` (four standard deviations allowed) is checked in place. So no candidate pair is given up, a neighbourhood of copies costs
     a few checks per member, what is sent again is the minority only, and no task holds more than two blocks.
     """
     ship(docs.sparkSession)
@@ -336,14 +350,14 @@ def _near_duplicates(docs: DataFrame, similarity: float, keep) -> DataFrame:
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         with_b = pairs.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("codes_b")), "b")
         with_a = with_b.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("codes_a")), "a")
-        checked = with_a.select("a", "b", "codes_a", "codes_b").mapInArrow(_verify, "a long, b long, similarity double")
+        checked = with_a.select("a", "b", "codes_a", "codes_b").mapInArrow(_verify, _VERIFIED)
         return materialize(checked, label)
 
     near = verified(pairs, "near")
     done, links = near, near.filter(F.col("similarity") >= similarity)
     labels = components(links)
-    hoods = near.select(F.col("a").alias("center"), F.col("b").alias("node"), F.col("similarity").alias("s"))
-    hoods = hoods.unionByName(near.select(F.col("a").alias("center"), F.col("a").alias("node"), F.lit(1.0).alias("s")).distinct())
+    hoods = near.select(F.col("a").alias("center"), F.col("b").alias("node"), F.col("similarity").alias("s"), F.col("size_b").alias("size"))
+    hoods = hoods.unionByName(near.select(F.col("a").alias("center"), F.col("a").alias("node"), F.lit(1.0).alias("s"), F.col("size_a").alias("size")).distinct())
 
     def ordered_pairs(df: DataFrame) -> DataFrame:
         both = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -370,9 +384,10 @@ def _near_duplicates(docs: DataFrame, similarity: float, keep) -> DataFrame:
     placed, tops, minor = _parties(hoods, labels, 0)
     if not minor.isEmpty():
         gap = 1.0 - similarity + 1e-9
-        left = minor.groupBy("center").agg(F.sum("n").alias("n_minor"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        left = minor.groupBy("center").agg(F.sum("n").alias("n_minor"), F.sum("codes").alias("c_minor"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        blocks = lambda n, c: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(c) / BLOCK_CODES)).cast("int")
         sizes = tops.join(left, "center").select(
-            "center", "major", "k", F.ceil(F.col("n_minor") / BLOCK).cast("int").alias("minors"), F.ceil(F.col("n_major") / BLOCK).cast("int").alias("majors"),
+            "center", "major", "k", blocks("n_minor", "c_minor").alias("minors"), blocks("n_major", "c_major").alias("majors"),
             (F.col("lo") - gap).alias("lo"), (F.col("hi") + gap).alias("hi"),
         )
         sizes = materialize(sizes, "sizes")
@@ -389,11 +404,11 @@ def _near_duplicates(docs: DataFrame, similarity: float, keep) -> DataFrame:
         most = most.select("center", "node", "label", "s", "block", F.lit(True).alias("major"), F.explode(facing).alias("at"))
         dealt = materialize(few.unionByName(most), "dealt")
         fine = codes.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, sketch binary")
-        dealt = dealt.join(materialize(fine, "fine"), "node").select("center", "at", "node", "label", "s", "block", "major", "sketch")
-        across = dealt.groupBy("center", "at").applyInPandas(_compare_blocks(similarity), "a long, b long")
-        more = verified(materialize(ordered_pairs(across), "across"), "near-across").filter(F.col("similarity") >= similarity)
-        if not more.isEmpty():
-            labels = merged(labels, more)
+        fine = materialize(fine, "fine").join(codes, "node")
+        dealt = dealt.join(fine, "node").select("center", "at", "node", "label", "s", "block", "major", "sketch", "codes")
+        across = materialize(dealt.groupBy("center", "at").applyInPandas(_compare_blocks(similarity), "a long, b long"), "across")
+        if not across.isEmpty():
+            labels = merged(labels, across)
 
     labelled = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(
