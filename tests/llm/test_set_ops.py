@@ -131,8 +131,39 @@ def test_top_k_by_brute_force(spark):
 
 
 def test_best_breaks_ties_by_id():
-    s = np.array([[5, 7, 7, 1, 7]])
-    assert topk.best(s, np.array([9, 8, 3, 1, 4]), 2).tolist() == [[2, 4]]
+    got = topk.best(np.array([[5, 7, 7, 1, 7]]), np.array([9, 8, 3, 1, 4]), 2)
+    assert [x.tolist() for x in got] == [[[7, 7]], [[3, 4]]]
+    few = topk.best(np.array([[5, topk._NONE]]), np.array([9, 8]), 3)
+    assert few[0].tolist() == [[5, topk._NONE, topk._NONE]] and few[1][0, 0] == 9
+
+
+def test_top_k_of_wide_components_is_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(0, 1, 6) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(200)]
+    rows += [(200, [4.0e7, *[0.0] * 5]), (201, [4.0e7, 1 / 64, *[0.0] * 4]), (220, [1e-3, 1.0, *[0.0] * 4]), (221, [3.0e7] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    values = {i: [int(np.floor(64 * x)) for x in e] for i, e in rows}
+    want = []
+    for q in (i for i in values if i % 20 == 0):
+        s = sorted(((-sum(a * b for a, b in zip(values[q], values[v], strict=True)), v) for v in values if v != q))[:7]
+        want += [(q, r + 1, v, -x) for r, (x, v) in enumerate(s)]
+    assert sorted(map(tuple, topk.top_k(df, 7, 20).collect())) == sorted(want)
+    beyond = spark.createDataFrame([(0, [1e12]), (1, [1e12]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.top_k(beyond, 2, 20).collect()
+
+
+def test_bounds_leave_out_annuli(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 8)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 4, (12, 8))
+    rows = [(i, (centers[i % 12] + rng.normal(0, 0.05, 8)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    report = {}
+    got = sorted(map(tuple, topk.top_k(df, 5, 20, report=report).collect()))
+    assert sorted(got, key=str) == brute_top([(r.vec_id, r.embedding) for r in df.collect()], 5, 20)
+    assert report["needed"] < 0.5 * report["pairs"]
 
 
 def test_classifier_on_held_out_documents(spark):
@@ -154,11 +185,49 @@ def test_classifier_edges(spark):
     for ratings in (labels, labels.filter("false")):
         model = classifier.fit(docs, classifier.graded(ratings))
         got = classifier.score(docs, model).collect()
+        assert [r.rating.tail_probability for r in got if not (r.text or "").strip()] == [0.0, 0.0]
         assert len(got) == 5 and all(0 <= r.rating.tail_probability <= r.rating.at_least <= 1 for r in got)
     assert classifier.score(docs.filter("false"), model).count() == 0 and classifier.select_good(docs, model, 0.0).columns == docs.columns
 
 
-def test_gradient_is_right():
+def test_rows_without_words_are_never_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = classifier.fit(docs, classifier.graded(spark.read.parquet(f"{SF}/labels.parquet")))
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, "### --- !!!")], "doc_id long, text string").withColumn("rating", F.lit("old"))
+    assert classifier.select_good(blank, model).count() == 0
+    assert {r.rating.tail_probability for r in classifier.score(blank, model).collect()} == {0.0}
+
+
+def test_repeated_ids_give_one_row_each(spark):
+    docs = spark.createDataFrame([(i % 7, f"word{i % 5} more words") for i in range(400)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(7)], "doc_id long, grade int")
+    seen = []
+    make = classifier._Rows
+    classifier._Rows = lambda feats, chars: seen.append(len(feats)) or make(feats, chars)
+    try:
+        classifier.fit(docs, ratings)
+    finally:
+        classifier._Rows = make
+    assert max(seen) == 7
+
+
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(8)
+    n, bits = 40, 4
+    size = (1 << bits) + 2 * classifier.SHAPES + 5
+    feats = [(np.sort(rng.choice(size - 5, 6, replace=False)), rng.normal(0, 1, 6)) for _ in range(n)]
+    rows = classifier._Rows(feats, rng.random((n, 5)))
+    grades, weight = rng.integers(0, 4, n), rng.random(n)
+    at = np.concatenate([rng.normal(0, 0.5, size), [-0.7], rng.normal(0, 0.3, 2)])
+    loss = lambda x: classifier.loss_and_gradient(rows, grades, weight, x[:size], x[size], x[size + 1 :], 0.01)
+    g = loss(at)[1]
+    for i in [*rng.choice(size, 15, replace=False), size, size + 1, size + 2]:
+        step = np.zeros(len(at))
+        step[i] = 1e-5
+        assert abs((loss(at + step)[0] - loss(at - step)[0]) / 2e-5 - g[i]) < 1e-5
+
+
+def test_fit_finds_the_optimum():
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, 600)
     grades = np.digitize(x + rng.logistic(0, 0.3, 600), [-0.7, 0.7])
