@@ -2,13 +2,16 @@
 
 Totals by source, language and tokenizer version are sums of signed changes, so a batch of inserts, deletes and revised
 counts only adds its own aggregate. Each batch commits one small table under its id; a batch that is committed again
-changes nothing. Reading sums the committed batches; compaction folds them into one.
+changes nothing. Reading sums the base and the batches after it; compaction makes a new base.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+import json
+import os
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import shared_dir
+from tesserae.llm._common import remove, shared_dir
 from tesserae.runtime import ship
 
 KEYS = ("source", "lang", "tokenizer")
@@ -32,22 +35,23 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, path: str, pattern: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens, n_chars for every row; a null or empty text counts 0.
+def count_tokens(docs: DataFrame, versions: Mapping[str, str], pattern: str) -> DataFrame:
+    """doc_id, source, lang, tokenizer, n_tokens, n_chars: one row for every row of ``docs`` and every version (name -> vocabulary file).
 
-    Special tokens in a text are ordinary text.
+    All versions count a text in one pass over the whole text. A null or empty text counts 0. Special tokens in a text are ordinary
+    text. Rows stand alone, so repeats count again; an empty table gives an empty result. Other columns are not read.
     """
     ship(docs.sparkSession)
+    names = list(versions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoding(path, pattern)
+        encodings = [_encoding(versions[v], pattern) for v in names]
         for b in batches:
-            n, c = [], []
-            for x in b.column(3):
-                text = x.as_py() or ""
-                n.append(len(e.encode_ordinary(text)))
-                c.append(len(text))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_chars"])
+            texts = [x or "" for x in b.column(3).to_pylist()]
+            chars = pa.array(map(len, texts), pa.int64())
+            for v, e in zip(names, encodings, strict=True):
+                n = pa.array([len(e.encode_ordinary(t)) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([v] * len(texts), pa.string()), n, chars], names=["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_chars"])
 
     schema = "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long"
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text")).mapInArrow(run, schema)
@@ -67,62 +71,126 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A rollup in a folder that Spark can reach: ``batch=<id>/`` per commit, and ``_done/<id>`` once it is whole."""
+    """A rollup in a folder that Spark can reach.
+
+    Every write goes to a folder of its own, ``rows/<attempt>``. ``_done/<batch>`` is a small file that names the attempt which
+    counts; it appears whole or not at all, and only once, so of several writers of one id exactly one counts and one that dies
+    leaves nothing behind but its own folder. ``_base/<number>`` names the attempt that holds the totals of the ids it lists. The file system has
+    to rename atomically without replacing (as HDFS does); on a local one a hard link does the same.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._at(name))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _publish(self, name: str, content: dict) -> bool:
+        """Make the file ``name`` appear with its content; False if it is there already."""
+        draft = f"_drafts/{uuid.uuid4().hex}"
+        stream = self._fs.create(self._at(draft), False)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        target = self._at(name)
+        self._fs.mkdirs(target.getParent())
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(self._at(draft).toUri().getPath(), target.toUri().getPath())
+                done = True
+            except FileExistsError:
+                done = False
+        else:
+            done = not self._fs.exists(target) and bool(self._fs.rename(self._at(draft), target))
+        self._fs.delete(self._at(draft), False)
+        return done
+
+    def _base(self) -> tuple[int, dict]:
+        numbers = sorted(map(int, self._names("_base")))
+        return (numbers[-1], self._read(f"_base/{numbers[-1]}")) if numbers else (0, {"attempt": None, "ids": []})
+
+    def _write(self, rows: DataFrame) -> str:
+        attempt = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/rows/{attempt}")
+        return attempt
 
     def committed(self) -> list[str]:
-        """Ids of whole batches. One name per batch since the last compaction, so the list stays short."""
-        done = self._at("_done")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(done)) if self._fs.exists(done) else []
+        """Ids of whole batches. One name per batch, so the list stays short."""
+        return sorted({*self._names("_done"), *self._base()[1]["ids"]})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the signed ``changes`` (see CHANGES) as ``batch``; False, and no change, if that id was committed before.
 
-        The batch is reduced to one row per key before it is written. A writer that dies leaves no mark, so the batch is
-        written anew by the next try. Null keys are keys of their own.
+        The batch is reduced to one row per key before it is written. Null keys are keys of their own. An empty batch counts as
+        committed.
         """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id consists of letters, digits, - and _")
-        if self._fs.exists(self._at(f"_done/{batch}")):
+        if batch in self.committed():
             return False
         sign = F.col("sign").cast("long")
         deltas = changes.groupBy(*KEYS).agg(
             F.sum(sign).alias("n_docs"), F.sum(sign * F.col("n_tokens")).alias("n_tokens"), F.sum(sign * F.col("n_chars")).alias("n_chars")
         )
-        deltas.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return bool(self._fs.createNewFile(self._at(f"_done/{batch}")))
-
-    def totals(self) -> DataFrame:
-        """One row per key whose totals are not all zero."""
-        paths = [f"{self.path}/batch={b}" for b in self.committed()]
-        if not paths:
+        attempt = self._write(deltas)
+        if self._publish(f"_done/{batch}", {"attempt": attempt}):
+            return True
+        remove(self.spark, f"{self.path}/rows/{attempt}")
+        return False
+
+    def _open(self) -> tuple[int, list[str], list[str]]:
+        """(number of the base, ids, attempts) that the totals consist of at this moment."""
+        number, base = self._base()
+        later = [b for b in self._names("_done") if b not in set(base["ids"])]
+        attempts = [a for a in [base["attempt"]] if a] + [self._read(f"_done/{b}")["attempt"] for b in later]
+        return number, [*base["ids"], *later], attempts
+
+    def _sum(self, attempts: Sequence[str]) -> DataFrame:
+        if not attempts:
             return self.spark.createDataFrame([], SCHEMA)
+        paths = [f"{self.path}/rows/{a}" for a in attempts]
         summed = self.spark.read.schema(SCHEMA).parquet(*paths).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS])
         return summed.filter("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
-    def compact(self, into: str) -> None:
-        """Write the totals as the one batch ``into`` of a new folder beside this one; its other ids stay known as done."""
-        new = Rollup(self.spark, f"{self.path}-{into}")
-        self.totals().write.mode("overwrite").parquet(f"{new.path}/batch={into}")
-        for b in [*self.committed(), into]:
-            if b != into:
-                self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{new.path}/batch={b}")
-            new._fs.createNewFile(new._at(f"_done/{b}"))
-        self.path = new.path
+    def totals(self) -> DataFrame:
+        """One row per key whose totals are not all zero."""
+        return self._sum(self._open()[2])
+
+    def compact(self) -> bool:
+        """Fold all batches so far into one base, in one job; False if another compaction came first.
+
+        Batches committed meanwhile are not in the base's list and so still count on their own. Folders that no reader needs any more are
+        left to ``vacuum``.
+        """
+        number, ids, attempts = self._open()
+        attempt = self._write(self._sum(attempts))
+        if self._publish(f"_base/{number + 1}", {"attempt": attempt, "ids": ids}):
+            return True
+        remove(self.spark, f"{self.path}/rows/{attempt}")
+        return False
+
+    def vacuum(self) -> None:
+        """Delete what the totals do not consist of. Only while no writer and no reader of older totals is at work."""
+        needed = set(self._open()[2])
+        for a in self._names("rows"):
+            if a not in needed:
+                remove(self.spark, f"{self.path}/rows/{a}")
 
 
 def load(spark: SparkSession, counts: DataFrame, name: str, batches: Sequence[tuple[str, DataFrame]] = ()) -> Rollup:
     """A new rollup in the shared folder with ``counts`` inserted and then ``batches`` of changes committed."""
-    import uuid
-
     out = Rollup(spark, f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}")
     out.commit("load", inserts(counts))
     for batch, changes in batches:

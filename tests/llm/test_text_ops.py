@@ -251,26 +251,3 @@ def test_water_filling(spark):
     s = spark.createDataFrame([("a", 10, 5.0), ("b", 1000, 2.0), ("c", 1000, 1.0)], "src string, source_size long, weight double")
     got = {r.src: r.target for r in mixing.source_targets(s, 2010.0).collect()}
     assert got["a"] == 30 and abs(got["b"] - 1320) < 1e-6 and abs(got["c"] - 660) < 1e-6
-
-
-def test_rollup(spark, docs, tmp_path):
-    import public_tokenizers as p
-
-    counts = rollup.count_tokens(docs, "v1", p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
-    store = rollup.Rollup(spark, str(tmp_path / "r"))
-    assert store.totals().count() == 0 and store.commit("load", rollup.inserts(counts)) and not store.commit("load", rollup.inserts(counts))
-    want = collections.Counter((d[3], d[2]) for d in EDGES)
-    whole = {(r.source, r.lang): r.n_docs for r in store.totals().collect()}
-    assert whole == want
-    b = counts.filter("source = 'b'")
-    store.commit("out", rollup.deletes(b))
-    assert {(r.source, r.lang) for r in store.totals().collect()} == {k for k in want if k[0] != "b"}
-    store.commit("back", rollup.inserts(b))
-    store.commit("moved", rollup.revisions(b, b.withColumn("source", F.lit("z"))))
-    before = sorted(map(tuple, store.totals().collect()), key=str)
-    assert {r[0] for r in before} == {"a", None, "c", "z"}
-    store.compact("packed")
-    assert sorted(map(tuple, store.totals().collect()), key=str) == before and not store.commit("out", rollup.deletes(b))
-    # A writer that died before its mark is written anew.
-    rollup.deletes(b).groupBy("source", "lang", "tokenizer").agg(F.lit(1).cast("long").alias("n_docs"), F.lit(1).cast("long").alias("n_tokens"), F.lit(1).cast("long").alias("n_chars")).write.parquet(f"{store.path}/batch=half")
-    assert sorted(map(tuple, store.totals().collect()), key=str) == before
