@@ -13,20 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import WORD, fresh, global_row_number, materialize, small_or_plain
+from tesserae.llm import quality
+from tesserae.llm._common import WORD, global_row_number, let, materialize, small_or_plain
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 
 
 ODD = "#*$%&|<>0123456789!@^~_=+{}[]"
+#: Rules of the quality ledger that a weight counts: those that one look at the characters and lines decides.
+WEIGHED = tuple(r for r in quality.RULES if r.name != "repeated_windows")
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.05 and 1: the share of characters that are not symbols, digits or bars; 0.05 for a null or empty text."""
+    """In (0, 1]: the share of characters that are not symbols, digits or bars, 0.05 at least, halved by every rule of WEIGHED that the text fails."""
     n = F.length(text)
     odd = n - F.length(F.translate(text, ODD, ""))
-    return F.greatest(F.lit(0.05), F.coalesce(F.when(n > 0, 1.0 - odd / n), F.lit(0.05)))
+    clean = F.greatest(F.lit(0.05), F.coalesce(F.when(n > 0, 1.0 - odd / n), F.lit(0.05)))
+    failed = let(quality.measurements(text, repeats=False), lambda m: F.bit_count(quality.ledger_bits(m, WEIGHED)))
+    return clean / F.pow(F.lit(2.0), failed)
 
 
 def row_hash(seed: int, *parts: Column) -> Column:
@@ -69,10 +74,18 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
 
     Size is the number of words (null text: 0). Sources are ordered by code point with null last and weigh
     ``weights`` in turn; together they share all words. ``times`` counts epochs plus at most one fractional pick, so it
-    never passes 3. The key depends on doc_id and text. Ties in it fall to the columns ``keep``; rows equal in all of them are
-    interchangeable.
+    never passes 3. The key depends on doc_id and text, and its weight on the text's quality. Ties in it fall to the columns
+    ``keep``; rows equal in all of them are interchangeable. Texts of any length count whole.
     An empty table gives an empty result; a source without words has target 0 and takes nothing.
     """
+    mixed = _mixed(docs, keep, weights, seed)
+    return mixed.select(
+        *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken")
+    )
+
+
+def _mixed(docs: DataFrame, keep: Sequence[str], weights: Sequence[float], seed: int) -> DataFrame:
+    """The columns ``keep`` as k_0, k_1, ..., and size, source_size, target, times."""
     text, source = F.col("text"), F.col("source")
     digest = row_hash(seed, F.col("doc_id"), text)
     rows = materialize(
@@ -111,7 +124,10 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
     )
     placed = keyed.join(small_or_plain(edge), by, "left")
     at_edge = F.col("bucket") == F.col("edge")
-    keys = [f"k_{i}" for i in range(len(keep))]
+    kinds = dict(rows.dtypes)
+    plain = [f"k_{i}" for i in range(len(keep)) if not kinds[f"k_{i}"].startswith(("map", "array", "struct", "variant"))]
+    other = [f"k_{i}" for i in range(len(keep)) if f"k_{i}" not in plain]
+    keys = [*plain, *([F.xxhash64(F.to_json(F.struct(*other)))] if other else [])]
     order = Window.partitionBy(*by).orderBy("key", "digest", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The budget ends nearest to its mark if the document that crosses it goes in exactly when more than half of it fits.
     inside = F.col("before") + F.sum("size").over(order) - F.col("size") / 2.0
@@ -119,26 +135,15 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
     whole = placed.filter(~F.coalesce(at_edge, F.lit(False))).withColumn("picked", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     picked = whole.unionByName(last)
     times = F.col("epochs") + F.when(F.col("picked") & (F.col("rest") > 0) & (F.col("size") > 0), 1).otherwise(0)
-    return picked.select(
-        *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
-        "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"),
-    )
+    return picked.select(*[f"k_{i}" for i in range(len(keep))], "size", "source_size", "target", times.alias("times"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
 
-    Rows are matched to their picks by all columns that identify them (doc_id, source and the text's hash); rows
-    equal in these share one decision each, in any order.
+    Rows pass through the mix with all their columns, so nothing is matched afterwards. Rows that are equal in every column share their
+    picks in any order; nulls, repeats, ties, empty and long texts are as in ``mix``, and an empty table gives an empty one.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    mark, nth, times = (fresh(docs, n) for n in ("__mark", "__nth", "__times"))
-    marked = docs.withColumn(mark, F.xxhash64("doc_id", "source", "text"))
-    same = Window.partitionBy("doc_id", mark)
-    rows = marked.withColumn(nth, F.row_number().over(same.orderBy(F.lit(0))))
-    picks = mix(marked, ["doc_id", mark], weights, seed)
-    picks = picks.withColumn(nth, F.row_number().over(same.orderBy("times"))).select(
-        F.col("doc_id").alias("__id"), F.col(mark).alias("__pm"), F.col(nth).alias("__pn"), F.col("times").cast("int").alias(times)
-    )
-    joined = rows.join(picks, rows["doc_id"].eqNullSafe(picks["__id"]) & (rows[mark] == picks["__pm"]) & (rows[nth] == picks["__pn"]))
-    return joined.filter(F.col(times) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
+    mixed = _mixed(docs, docs.columns, weights, seed).filter("times > 0")
+    copies = mixed.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -65,8 +65,11 @@ def exact_topk(k: int = 20, every: int = 20) -> str:
 
 def source_mix(seed: int = 7) -> str:
     weights = ", ".join(f"{w}::DOUBLE" for w in mixing.WEIGHTS)
-    return rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) size, ('0x' || substr(md5(concat_ws('|', '{seed}', doc_id, text)), 1, 13))::BIGINT h,
-  greatest(0.05::DOUBLE, coalesce(CASE WHEN length(text) > 0 THEN 1.0::DOUBLE - (length(text) - length(translate(text, '{mixing.ODD}', '')))::DOUBLE / length(text) END, 0.05::DOUBLE)) w FROM documents),
+    return rf"""WITH d0 AS (SELECT doc_id, source, text, coalesce(text, '') t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls,
+  coalesce(len(regexp_extract_all(text, '{WORD}')), 0) size, ('0x' || substr(md5(concat_ws('|', '{seed}', doc_id, text)), 1, 13))::BIGINT h FROM documents),
+ m AS (SELECT *, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) n_symbols, len(ls) - len(list_distinct(ls)) dups, length(t) - length(translate(t, '{UPPER}', '')) n_upper FROM d0),
+ d AS (SELECT doc_id, source, size, h, greatest(0.05::DOUBLE, coalesce(CASE WHEN length(text) > 0 THEN 1.0::DOUBLE - (length(text) - length(translate(text, '{mixing.ODD}', '')))::DOUBLE / length(text) END, 0.05::DOUBLE))
+  / pow(2.0::DOUBLE, CAST(size < 50 AS INT) + CAST(10 * n_symbols > 2 * size AS INT) + CAST(100 * dups > 50 * len(ls) AS INT) + CAST(word_chars < 2 * size OR word_chars > 15 * size AS INT) + CAST(2 * n_upper > word_chars AS INT)) w FROM m),
  k AS (SELECT *, -ln((h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / w key FROM d),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) z, ([{weights}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] w FROM d GROUP BY source),
  o AS (SELECT *, z * 3.0::DOUBLE cap, sum(z) OVER () total FROM s),

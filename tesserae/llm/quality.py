@@ -96,8 +96,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(hashes, from_hashes))
 
 
-def measurements(text: Column) -> Column:
-    """One struct of counts over the whole text; a null text counts as empty.
+def measurements(text: Column, repeats: bool = True) -> Column:
+    """One struct of counts over the whole text; a null text counts as empty. Without ``repeats``, n_repeat_words is null.
 
     ``n_lines`` counts lines with a word, ``n_upper`` the upper-case letters (characters that lower-casing changes
     are counted through ASCII and Latin-1 capitals).
@@ -120,7 +120,7 @@ def measurements(text: Column) -> Column:
                     symbols.cast("long").alias("n_symbols"),
                     F.size(ls).cast("long").alias("n_lines"),
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-                    _repeat_words(ws).alias("n_repeat_words"),
+                    (_repeat_words(ws) if repeats else F.lit(None).cast("long")).alias("n_repeat_words"),
                     upper.cast("long").alias("n_upper"),
                 ),
             ),
@@ -129,16 +129,20 @@ def measurements(text: Column) -> Column:
     return let(text, of)
 
 
+def ledger_bits(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Bit r is set if rule r fails by the measurements ``m``."""
+    return sum((F.when(r.fails(m), F.lit(1 << r.bit)).otherwise(0) for r in rules), F.lit(0)).cast("long")
+
+
 def with_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", to: str = "ledger") -> DataFrame:
     """``docs`` and a struct column ``to`` of ``m`` (measurements) and ``bits`` (bit r is set if rule r fails).
 
     Null and empty texts measure as zero words. Repeated rows are measured alike; an empty table gives an
-    empty ledger. ``to`` must not be a column of ``docs`` (see ``fresh``).
+    empty ledger. Texts are measured whole. An existing column ``to`` is replaced.
     """
-    bits = lambda m: sum((F.when(r.fails(m), F.lit(1 << r.bit)).otherwise(0) for r in rules), F.lit(0)).cast("long")
     raw = fresh(docs, "__m")
     measured = docs.withColumn(raw, measurements(F.col(text)))
-    return measured.withColumn(to, F.struct(F.col(raw).alias("m"), bits(F.col(raw)).alias("bits"))).drop(raw)
+    return measured.withColumn(to, F.struct(F.col(raw).alias("m"), ledger_bits(F.col(raw), rules).alias("bits"))).drop(raw)
 
 
 def passes(bits: Column, policy: str, rules: tuple[Rule, ...] = RULES, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> Column:
@@ -149,19 +153,20 @@ def passes(bits: Column, policy: str, rules: tuple[Rule, ...] = RULES, policies:
 def ablation(ledger: DataFrame, bits: Column, policy: str, rules: tuple[Rule, ...] = RULES, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """Per rule of the policy: documents it fails, documents only it fails (kept if it were dropped), documents the policy keeps.
 
-    The ledger is first reduced to one row per bit pattern, at most 2 ** rules of them, so everything after
-    that is bitwise work on a table of bounded size.
+    The ledger is first reduced to one row per bit pattern, at most 2 ** rules of them; everything after that is bitwise work on
+    a table of bounded size. Every rule has a row, also if the ledger is empty.
     """
     mask = mask_of(policy, rules, policies)
     patterns = ledger.select(bits.bitwiseAND(F.lit(mask)).alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
-    chosen = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).alias("bit")) for r in rules if mask >> r.bit & 1])
-    per_rule = patterns.select("bits", "n", F.explode(chosen).alias("r"))
-    hit = per_rule["bits"].bitwiseAND(F.col("r.bit")) != 0
-    only = per_rule["bits"] == F.col("r.bit")
-    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    return per_rule.groupBy(F.col("r.rule").alias("rule")).agg(
-        count(hit).alias("failed"), count(only).alias("failed_alone"), count(F.col("bits") == 0).alias("kept")
+    chosen = [r for r in rules if mask >> r.bit & 1]
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    sums = patterns.agg(
+        total(F.col("bits") == 0).alias("kept"),
+        *[total(F.col("bits").bitwiseAND(F.lit(1 << r.bit)) != 0).alias(f"hit_{r.bit}") for r in chosen],
+        *[total(F.col("bits") == (1 << r.bit)).alias(f"only_{r.bit}") for r in chosen],
     )
+    rows = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"hit_{r.bit}").alias("failed"), F.col(f"only_{r.bit}").alias("failed_alone")) for r in chosen]))
+    return sums.select(rows.alias("r"), "kept").select("r.rule", "r.failed", "r.failed_alone", "kept")
 
 
 def keep_good(docs: DataFrame, policy: str = "prod-1") -> DataFrame:

@@ -72,6 +72,15 @@ def test_quality_keeps_rows_and_columns(docs, none):
     assert rows["too_few_words"].failed == 7 and rows["repeated_windows"].failed == 2
 
 
+def test_ablation_has_every_rule(docs, none):
+    ledger = quality.with_ledger(docs)
+    got = {r.rule: (r.failed, r.failed_alone, r.kept) for r in quality.ablation(ledger, F.col("ledger")["bits"], "prod-1").collect()}
+    bits = [r.ledger.bits for r in ledger.collect()]
+    assert got == {r.name: (sum(b >> r.bit & 1 for b in bits), sum(b == 1 << r.bit for b in bits), bits.count(0)) for r in quality.RULES}
+    empty = quality.ablation(quality.with_ledger(none), F.col("ledger")["bits"], "prod-1").collect()
+    assert len(empty) == len(quality.RULES) and all(r.failed == 0 and r.kept == 0 for r in empty)
+
+
 def test_policies_are_masks():
     assert quality.mask_of("base-1") == 3 and quality.mask_of("prod-1") == 63
 
@@ -230,6 +239,16 @@ def test_mix_edges(docs, none):
     assert mixing.mix(none, ["doc_id"]).count() == 0 and mixing.mixed_rows(none).count() == 0
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns and out.count() == sum(r.times for r in got)
+    assert out.drop("kept").distinct().count() <= docs.drop("kept").distinct().count()
+    odd = docs.withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    assert mixing.mixed_rows(odd).count() == out.count()
+
+
+def test_weights_follow_the_ledger(spark):
+    texts = {"good": "plain words in a row make a text " * 10, "short": "plain words", "loud": "SHOUTING WORDS ALL OVER " * 20, "signs": "# * word $ % " * 20, None: None}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "k string, text string")
+    w = {r.k: r.w for r in df.select("k", mixing.quality_weight(F.col("text")).alias("w")).collect()}
+    assert w["good"] > 2 * w["loud"] - 1e-9 and w["good"] == 1.0 and w["short"] == 0.5 and w["signs"] < 0.5 and 0 < w[None] < 0.05
 
 
 def test_mix_meets_targets(spark):
