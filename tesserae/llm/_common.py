@@ -53,6 +53,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` returned as ``df`` inside an open ``scratch`` block; nothing may read it any more."""
+    for made in _open:
+        for path in [p for p, d in made.items() if d is df]:
+            remove(df.sparkSession, path)
+            del made[path]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that ``materialize`` writes inside the block go when it ends, but for those passed to the function it yields.
