@@ -107,36 +107,36 @@ def emissions(stocked: DataFrame, meta: RasterMeta, coefficient: float = 0.47, f
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row: exact area under the ROC curve (ties count half) and the numbers of positives and negatives.
 
-    Scores, expected between 0 and 1, are reduced to one row per distinct value. Those are summed up within 4096 equal
-    ranges, and the ranges' totals give what lies below each, so no task sees all distinct values.
+    Scores are reduced to one row per distinct value. Those are summed up within 4096 equal ranges between the least and the
+    largest score, and the ranges' totals give what lies below each, so no task sees all distinct values.
     """
-    tied = scored.groupBy(F.col(score).alias("s")).agg(
+    tied = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
     )
-    cells = tied.withColumn("cell", F.floor(F.col("s") * 4096).cast("long"))
+    ends = scored.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
+    share = F.coalesce(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    # ``ends`` is one row.
+    cells = tied.crossJoin(F.broadcast(ends)).withColumn("cell", F.floor(share * 4096).cast("long")).drop("lo", "hi")
     inside = Window.partitionBy("cell").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_cell = cells.groupBy("cell").agg(F.sum("q").alias("cq"))
     before = per_cell.select("cell", (F.sum("cq").over(Window.orderBy("cell")) - F.col("cq")).alias("below"))
-    ranked = cells.withColumn("upto", F.sum("q").over(inside)).join(before, "cell")
+    ranked = cells.withColumn("upto", F.sum("q").over(inside)).join(F.broadcast(before), "cell")
     wins = F.sum(F.col("p") * (F.col("below") + F.col("upto") - F.col("q") / 2.0))
     out = ranked.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), wins.alias("w"))
     return out.select(F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
-def sampled_auc(scored: DataFrame, draws: int = 100_000, seed: int = 1234, score: str = "score", label: str = "label") -> DataFrame:
-    """Monte-Carlo estimate from ``draws`` random pairs, drawn with replacement by rank numbers."""
-    from pyspark.sql.window import Window as W
+def sampled_auc(scored: DataFrame, key: str, draws: int = 100_000, seed: int = 1234, score: str = "score", label: str = "label") -> DataFrame:
+    """Monte-Carlo estimate from ``draws`` random pairs, drawn with replacement by row numbers; ``key`` is an integer that tells rows apart."""
+    from tesserae.operators.sample import draw_key, numbered, uniform
 
-    def numbered(y: int, name: str) -> DataFrame:
-        rows = scored.filter(F.col(label) == y).select(F.col(score).alias(name))
-        return rows.withColumn("i", F.row_number().over(W.orderBy(F.xxhash64(name))) - 1)
+    def side(y: int, name: str, place: str) -> tuple[DataFrame, int]:
+        rows = scored.filter(F.col(label) == y).select(F.col(score).alias(name), F.col(key).alias("__key"))
+        return numbered(rows, draw_key(F.col("__key"), seed=seed), ["__key"], place).drop("__key"), rows.count()
 
-    pos, neg = numbered(1, "sp"), numbered(0, "sn")
-    n_pos, n_neg = pos.count(), neg.count()
-    spark = scored.sparkSession
-    pick = lambda s, n: F.floor(F.rand(s) * n).cast("int")
-    pairs = spark.range(draws).select(pick(seed, n_pos).alias("i"), pick(seed + 1, n_neg).alias("j"))
-    joined = pairs.join(pos, "i").join(neg.withColumnRenamed("i", "j"), "j")
+    (pos, n_pos), (neg, n_neg) = side(1, "sp", "i"), side(0, "sn", "j")
+    at = lambda n, k: F.floor(uniform(F.col("id"), seed=seed + k) * n).alias("i" if k == 1 else "j")
+    joined = scored.sparkSession.range(draws).select(at(n_pos, 1), at(n_neg, 2)).join(pos, "i").join(neg, "j")
     return joined.agg(F.avg(F.when(F.col("sp") > F.col("sn"), 1.0).when(F.col("sp") == F.col("sn"), 0.5).otherwise(0.0)).alias("auc"))
 
 

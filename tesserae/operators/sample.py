@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.sources.raster import KEY
+from tesserae.functions.pixels import pixel_center, spatial_cell
+from tesserae.sources.raster import KEY, RasterMeta
 
 #: Knuth's multiplicative hash; plain arithmetic, so any engine can repeat a draw.
 MULTIPLIER, MODULUS = 2654435761, 4294967296
@@ -44,43 +45,96 @@ def stratified(fcc: DataFrame, per_class: int, seed: int = 1234) -> DataFrame:
     return smallest_per_group(keyed, ["v"], ["h", *KEY], per_class).drop("h")
 
 
+#: Stretches of the cumulated pixel counts that draws and blocks meet in.
+STRETCHES = 4096
+
+
+def uniform(*keys: Column, seed: int = 1234) -> Column:
+    """A double in [0, 1) from 52 bits: two draws, the second seeded apart."""
+    return (draw_key(*keys, seed=seed) * 1048576 + F.shiftright(draw_key(*keys, seed=seed + 7919), 12)) / float(1 << 52)
+
+
+def numbered(df: DataFrame, h: Column, ties: Sequence[str], name: str) -> DataFrame:
+    """``df`` with row numbers from 0 in the order of the 32-bit draw ``h`` and then ``ties``.
+
+    Rows are counted per upper half of the draw, and numbered inside it, so no window sees more than about a 65536th of them. The
+    table of counts has at most 65536 rows and is broadcast.
+    """
+    keyed = df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 16))
+    per = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = per.select("__b", (upto - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *ties)) - 1
+    out = keyed.withColumn("__inside", inside).join(F.broadcast(before), "__b")
+    return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__h", "__b", "__inside", "__before")
+
+
 def two_stage(fcc: DataFrame, tile: Column, per_class: int, seed: int = 1234) -> DataFrame:
     """Blocks drawn with replacement in proportion to their pixels of the class, then pixels without replacement in each block.
 
-    A block that is drawn more often than it has pixels gives all of them. The draw of blocks runs over the table of blocks:
-    each of ``per_class`` uniform numbers falls into one block's stretch of the cumulated counts.
+    A block that is drawn more often than it has pixels gives all of them. Each of ``per_class`` uniform numbers falls into one
+    block's part of the cumulated counts of the class. These are cut into STRETCHES equal stretches, and a draw meets the blocks of
+    its stretch only. The windows run over the table of blocks.
     """
     cells = fcc.filter(F.col("v").isin(0, 1)).select(*KEY, "v", tile.alias("tile"), draw_key(F.col("y"), F.col("x"), seed=seed).alias("h"))
     counts = cells.groupBy("v", "tile").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("v").orderBy("tile"))
+    upto = F.sum("n").over(Window.partitionBy("v").orderBy("tile").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     total = F.sum("n").over(Window.partitionBy("v"))
-    ranges = counts.select("v", "tile", "n", (upto - F.col("n")).alias("lo"), upto.alias("hi"), total.alias("total"))
-    draws = fcc.sparkSession.range(per_class).select(draw_key(F.col("id"), seed=seed + 1).alias("u"))
-    per_v = ranges.select("v", "total").distinct().join(draws, F.lit(True)).select("v", F.floor(F.col("u") * F.col("total") / MODULUS).alias("at"))
-    hit = per_v.alias("d").join(ranges.alias("r"), (F.col("d.v") == F.col("r.v")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    wanted = hit.groupBy(F.col("r.v").alias("v"), "tile").agg(F.count(F.lit(1)).alias("want"))
+    ranges = counts.select("v", "tile", (upto - F.col("n")).alias("lo"), upto.alias("hi"), total.alias("total"))
+    stretch = lambda at: F.floor(at * (float(STRETCHES) / F.col("total"))).cast("int")
+    ranges = ranges.withColumn("stretch", F.explode(F.sequence(stretch(F.col("lo")), stretch(F.col("hi") - 1))))
+    draws = fcc.sparkSession.range(per_class).select(F.col("id"), uniform(F.col("id"), seed=seed + 1).alias("u"))
+    totals = counts.groupBy("v").agg(F.sum("n").alias("total"))
+    # Two classes at most.
+    drawn = draws.crossJoin(F.broadcast(totals)).withColumn("at", F.least(F.floor(F.col("u") * F.col("total")), F.col("total") - 1))
+    drawn = drawn.select("v", "at", stretch(F.col("at")).alias("stretch"))
+    hit = drawn.join(ranges, ["v", "stretch"]).filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    wanted = hit.groupBy("v", "tile").agg(F.count(F.lit(1)).alias("want"))
     ranked = cells.join(wanted, ["v", "tile"]).withColumn("k", F.row_number().over(Window.partitionBy("v", "tile").orderBy("h", *KEY)))
     return ranked.filter(F.col("k") <= F.col("want")).select(*KEY, "v")
 
 
-def lookup(sampled: DataFrame, layers: DataFrame) -> DataFrame:
-    """Sampled pixels with the values of the stacked layers; the sample has a fixed size and is broadcast."""
-    return layers.join(F.broadcast(sampled), [*KEY], "right")
+#: A sample of at most so many pixels (two integers each) is broadcast.
+BROADCAST_PIXELS = 200_000
+
+
+def lookup(sampled: DataFrame, layers: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Sampled pixels with the values of the stacked layers, null where there is no such pixel.
+
+    If the sample has ``at_most`` rows, or is counted to be small, its keys are broadcast to the layers, so the layers are
+    filtered where they lie and nothing of them but the sampled pixels moves.
+    """
+    if at_most is None:
+        at_most = sampled.limit(BROADCAST_PIXELS + 1).count()
+    keys = sampled.select(*KEY).distinct()
+    if at_most <= BROADCAST_PIXELS:
+        return sampled.join(F.broadcast(layers.join(F.broadcast(keys), [*KEY], "left_semi")), [*KEY], "left")
+    return sampled.join(layers, [*KEY], "left")
+
+
+def sample(fcc: DataFrame, layers: DataFrame, meta: RasterMeta, tile: Column, per_class: int | None = None, csize: float = 10.0, seed: int = 1234) -> DataFrame:
+    """The table a model is fitted on: y, x, v, the layers, ``east`` and ``north`` of the pixel's centre, its spatial ``cell`` of ``csize`` km.
+
+    Without ``per_class`` the size follows the forest's area (``adapted_size``). Pixels come by ``two_stage``; rows with missing layers
+    stay, since what a model needs is its own matter.
+    """
+    if per_class is None:
+        per_class = adapted_size(fcc.filter(F.col("v").isin(0, 1)).count() * meta.pixel_ha)
+    east, north = pixel_center(meta)
+    drawn = lookup(two_stage(fcc, tile, per_class, seed), layers, at_most=2 * per_class)
+    return drawn.withColumns({"east": east, "north": north, "cell": spatial_cell(meta, csize)})
 
 
 def holdout(sample: DataFrame, key: str, ratio: float, repetition: int, seed: int = 1234) -> DataFrame:
-    """``sample`` with ``is_test``: exactly round(n * ratio / 100) rows of it are true, others in each repetition."""
-    n = sample.count()
-    wanted = round(n * ratio / 100.0)
-    h = draw_key(F.col(key), F.lit(repetition), seed=seed)
-    chosen = smallest_per_group(sample.select(F.col(key), h.alias("__h"), F.lit(1).alias("__one")), ["__one"], ["__h", key], wanted)
-    marked = chosen.select(key, F.lit(True).alias("is_test"))
-    return sample.join(marked, key, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
-
-
-def bootstrap(sample: DataFrame, n: int, seed: int = 1234) -> DataFrame:
-    """``n`` rows drawn with replacement by random row number."""
-    numbered = sample.withColumn("__i", F.row_number().over(Window.orderBy(F.xxhash64(*sample.columns))) - 1)
+    """``sample`` with ``is_test``: exactly round(n * ratio / 100) rows of it are true, others in each repetition. ``key`` is an integer."""
+    wanted = round(sample.count() * ratio / 100.0)
+    placed = numbered(sample, draw_key(F.col(key), F.lit(repetition), seed=seed), [key], "__place")
+    return placed.withColumn("is_test", F.col("__place") < wanted).drop("__place")
+
+
+def bootstrap(sample: DataFrame, n: int, key: str, seed: int = 1234) -> DataFrame:
+    """``n`` rows drawn with replacement by random row number; ``key`` is an integer that tells rows apart."""
+    placed = numbered(sample, draw_key(F.col(key), seed=seed), [key], "__i")
     size = sample.count()
-    draws = sample.sparkSession.range(n).select(F.floor(F.rand(seed) * size).cast("int").alias("__i"))
-    return draws.join(numbered, "__i").drop("__i")
+    draws = sample.sparkSession.range(n).select(F.floor(uniform(F.col("id"), seed=seed + 1) * size).alias("__i"))
+    return draws.join(placed, "__i").drop("__i")

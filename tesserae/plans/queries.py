@@ -40,6 +40,22 @@ RATES = f"""per AS (SELECT r.v cat, count(*) FILTER (f.v > 0) nfor, count(*) FIL
 MATRIX = "count(*) FILTER (pred = 0 AND obs = 0) n00, count(*) FILTER (pred = 0 AND obs = 1) n01, count(*) FILTER (pred = 1 AND obs = 0) n10, count(*) FILTER (pred = 1 AND obs = 1) n11"
 
 
+_M = "2654435761 // 2"
+
+
+def draw_sql(*keys: str, seed: int = 1234) -> str:
+    """SQL of ``sample.draw_key``."""
+    h = str(seed)
+    for k in keys:
+        h = f"(((({h} + {k} + 1) % 4294967296) * ({_M}) + ({h} >> 16)) % 4294967296)"
+    return h
+
+
+def uniform_sql(*keys: str, seed: int = 1234) -> str:
+    """SQL of ``sample.uniform``."""
+    return f"(({draw_sql(*keys, seed=seed)} * 1048576 + ({draw_sql(*keys, seed=seed + 7919)} >> 12)) / 4503599627370496.0::DOUBLE)"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -120,6 +136,12 @@ def invlogit_score(spark, sf_dir):
     return rounded(demo.events_grid(spark, sf_dir).select(*KEY, pixels.invlogit(F.col("value") / 100.0 - 1.0).alias("p")), 9)
 
 
+@query(f"WITH {EVENTS}, p AS (SELECT y, x, greatest(least(value / 500.0::DOUBLE, 0.999::DOUBLE), 0.001::DOUBLE) p FROM ev) SELECT y, x, round(ln(p / (1 - p)), 9) z FROM p")
+def logit_score(spark, sf_dir):
+    p = F.greatest(F.least(F.col("value") / 500.0, F.lit(0.999)), F.lit(0.001))
+    return rounded(demo.events_grid(spark, sf_dir).select(*KEY, pixels.logit(p).alias("z")), 9)
+
+
 @query(f"WITH {RISK} SELECT count(nullif(v, 0)) valid, count(*) - count(nullif(v, 0)) missing, min(nullif(v, 0)) lo, max(v) hi FROM risk")
 def nodata_null(spark, sf_dir):
     r = demo.masked(demo.risk(spark, sf_dir), 0)
@@ -189,11 +211,11 @@ def observation_points(spark, sf_dir):
     return seen.select(east.alias("east"), north.alias("north"), F.when(F.col("v") == 0, "lost").otherwise("kept").alias("class"))
 
 
-@query("""WITH c AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) cell FROM part WHERE p_partkey % 3 <> 0 OR p_size > 40), d AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 id FROM c)
+@query("""WITH c AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) cell FROM part WHERE p_size > 15), d AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 id FROM c)
  SELECT p.cell, p.id cell_id, q.cell neighbor, q.id neighbor_id FROM d p JOIN d q ON abs(p.cell // 40 - q.cell // 40) <= 2 AND abs(p.cell % 40 - q.cell % 40) <= 2 AND p.cell <> q.cell""")
 def cell_neighbours_masked(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    cells = parts.filter((F.col("p_partkey") % 3 != 0) | (F.col("p_size") > 40)).select(F.col("p_partkey").alias("cell"))
+    cells = parts.filter("p_size > 15").select(F.col("p_partkey").alias("cell"))
     rows = int(cells.agg(F.max("cell")).first()[0]) // 40 + 1
     return grid.neighbours_within(cells, rows, 40, 2)
 
@@ -241,10 +263,13 @@ def auc_exact(spark, sf_dir):
     return rounded(aggregate.auc(scored), 9)
 
 
-@query()
+@query(f"""WITH s AS (SELECT event_id, value, event_type = 'purchase' pos FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY {draw_sql("event_id")}, event_id) - 1 i, count(*) OVER (PARTITION BY pos) n FROM s),
+ u AS (SELECT {uniform_sql("k", seed=1235)} a, {uniform_sql("k", seed=1236)} b FROM range(0, 20000) g(k)), t AS (SELECT max(n) FILTER (pos) np, max(n) FILTER (NOT pos) nn FROM n),
+ d AS (SELECT CAST(floor(a * np) AS BIGINT) i, CAST(floor(b * nn) AS BIGINT) j FROM u, t)
+ SELECT avg(CASE WHEN p.value > q.value THEN 1.0::DOUBLE WHEN p.value = q.value THEN 0.5 ELSE 0 END) auc FROM d JOIN n p ON p.pos AND p.i = d.i JOIN n q ON NOT q.pos AND q.i = d.j""")
 def auc_sampled(spark, sf_dir):
-    scored = table(spark, sf_dir, "events").select(F.col("value").alias("score"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"))
-    return aggregate.sampled_auc(scored, draws=20_000)
+    scored = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("score"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"))
+    return aggregate.sampled_auc(scored, "event_id", draws=20_000)
 
 
 @query("""WITH d AS (SELECT greatest(least(value / 500.0::DOUBLE, 0.99::DOUBLE), 0.01::DOUBLE) p, CAST(user_id % 3 = 0 AS INT) y FROM events), m AS (SELECT avg(y) m, count(*) n FROM d),
@@ -287,6 +312,21 @@ def defrate_per_cat(spark, sf_dir):
     return rounded(project.rates_by_class(demo.fcc123(spark, sf_dir), demo.risk(spark, sf_dir), META, YEARS), 9)
 
 
+def _period(period: str, start: int, lost: str) -> None:
+    """The table of classes for the other periods: which codes are forest at the start and which are lost."""
+    rates = RATES.replace("f.v > 0", f"f.v > {start}").replace("f.v = 1", f"f.v IN ({lost})")
+
+    def run(spark, sf_dir):
+        return rounded(project.rates_by_class(demo.fcc123(spark, sf_dir), demo.risk(spark, sf_dir), META, YEARS, period), 9)
+
+    run.__name__ = f"defrate_{period}"
+    query(f"WITH {FCC123}, {RISK}, {rates} SELECT cat, nfor, ndefor, round(rate_obs, 9) rate_obs, round(rate_mod, 9) rate_mod, round(rate_abs, 9) rate_abs, 10.0::DOUBLE time_interval, 0.09::DOUBLE pixel_area, round(dens, 9) defor_dens FROM full_")(run)
+
+
+for _name, _start, _lost in (("validation", 1, "2"), ("historical", 0, "1, 2"), ("forecast", 0, "1, 2")):
+    _period(_name, _start, _lost)
+
+
 @query(f"WITH {RISK}, {CUT} SELECT CAST(threshold AS INT) threshold, CAST(ndp AS BIGINT) ndp, CAST(nfp AS BIGINT) nfp, round(k * 0.09::DOUBLE, 6) hectares, round(CASE WHEN k >= nfp THEN 0 ELSE ndp * 0.09::DOUBLE - k * 0.09::DOUBLE END, 6) error, round_even(100 * (CASE WHEN k >= nfp THEN 0 ELSE ndp * 0.09::DOUBLE - k * 0.09::DOUBLE END) / (k * 0.09::DOUBLE), 2) error_perc FROM cut")
 def deforest_threshold(spark, sf_dir):
     r = demo.risk(spark, sf_dir)
@@ -369,13 +409,13 @@ def validation_udef_arp(spark, sf_dir):
     return validate.cell_errors(_cells(spark, sf_dir), 10, META)
 
 
-@query(f"""WITH {FCC123}, {RISK}, {RATES}, a AS (SELECT sum(nfor * rate_mod) s FROM full_), p AS (SELECT v, count(*) n FROM risk WHERE y % 2 = 0 AND v > 0 GROUP BY 1),
+@query(f"""WITH {FCC123}, {RISK}, {RATES}, a AS (SELECT sum(nfor * rate_mod) s FROM full_), p AS (SELECT v, count(*) n FROM risk WHERE v > 0 GROUP BY 1),
  t AS (SELECT sum(n * (SELECT rate_mod FROM full_ WHERE cat = v) * (50.0::DOUBLE / (0.09::DOUBLE * s)) * 0.09::DOUBLE / 5.0::DOUBLE) annual FROM p, a)
  SELECT 'annual' period, 1 AS "length (yr)", round_even(annual, 1) AS "deforestation (ha)" FROM t UNION ALL SELECT 'entire', 5, round_even(annual * 5, 1) FROM t""")
 def allocate_deforestation(spark, sf_dir):
     r = demo.risk(spark, sf_dir)
     rates = project.rates_by_class(demo.fcc123(spark, sf_dir), r, META, YEARS)
-    return project.allocate(r.filter("y % 2 = 0"), rates, 50.0, 5.0)
+    return project.allocate(r, rates, 50.0, 5.0)
 
 
 @query(f"WITH {FCC123}, {RISK}, {RATES} SELECT y, x, round(coalesce(dens, -9999), 9) v FROM risk LEFT JOIN full_ ON cat = v")
@@ -407,7 +447,6 @@ def diffusion_years(spark, sf_dir):
 
 # ---- sampling
 
-_M = "2654435761 // 2"
 _KEYED = f"k AS (SELECT y, x, v, ((((1234 + y + 1) % 4294967296) * ({_M}) + (1234 >> 16)) % 4294967296) a FROM fcc WHERE v IN (0, 1)), d AS (SELECT y, x, v, (((a + x + 1) % 4294967296) * ({_M}) + (a >> 16)) % 4294967296 h FROM k), pick AS (SELECT y, x, v FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY h, y, x) r FROM d) WHERE r <= 200)"
 
 
@@ -419,22 +458,42 @@ def stratified_sample(spark, sf_dir):
 @query(f"WITH {_STACK}, {_KEYED} SELECT p.y, p.x, p.v, s.risk, s.stock FROM pick p LEFT JOIN st s USING (y, x)")
 def sample_lookup(spark, sf_dir):
     drawn = sample.stratified(demo.fcc(spark, sf_dir), 200)
-    return sample.lookup(drawn, _stack(spark, sf_dir).drop("v"))
+    return sample.lookup(drawn, _stack(spark, sf_dir).drop("v"), at_most=400)
 
 
-@query()
+_TWO_STAGE = f"""c AS (SELECT y, x, v, y // 10 tile, {draw_sql("y", "x")} h FROM fcc WHERE v IN (0, 1)), n AS (SELECT v, tile, count(*) n FROM c GROUP BY 1, 2),
+ r AS (SELECT v, tile, sum(n) OVER w - n lo, sum(n) OVER w hi, sum(n) OVER (PARTITION BY v) total FROM n WINDOW w AS (PARTITION BY v ORDER BY tile)),
+ d AS (SELECT v, least(CAST(floor({uniform_sql("k", seed=1235)} * total) AS BIGINT), total - 1) p FROM range(0, 200) g(k), (SELECT DISTINCT v, total FROM r)),
+ w AS (SELECT r.v, r.tile, count(*) want FROM d JOIN r ON d.v = r.v AND p >= lo AND p < hi GROUP BY 1, 2),
+ drawn AS (SELECT y, x, v FROM (SELECT c.*, want, row_number() OVER (PARTITION BY c.v, c.tile ORDER BY h, y, x) k FROM c JOIN w ON c.v = w.v AND c.tile = w.tile) WHERE k <= want)"""
+
+
+@query(f"WITH {FCC}, {_TWO_STAGE} SELECT y, x, v FROM drawn")
 def two_stage_sample(spark, sf_dir):
     return sample.two_stage(demo.fcc(spark, sf_dir), F.floor(F.col("y") / 10), 200)
 
 
+@query(f"WITH {_STACK}, {_TWO_STAGE} SELECT w.y, w.x, w.v, s.risk, s.stock, (w.x + 0.5::DOUBLE) * 30.0 + 0.0 AS east, 0.0 - (w.y + 0.5::DOUBLE) * 30.0 AS north, CAST(floor((w.y + 0.5::DOUBLE) * 30.0 / 1000) * 3 + floor((w.x + 0.5::DOUBLE) * 30.0 / 1000) AS BIGINT) cell FROM drawn w LEFT JOIN st s USING (y, x)")
+def model_sample(spark, sf_dir):
+    """The whole sampling step: drawn pixels, layers, centres and cells."""
+    out = sample.sample(demo.fcc(spark, sf_dir), _stack(spark, sf_dir).drop("v"), META, F.floor(F.col("y") / 10), 200, csize=1.0)
+    return out.select("y", "x", "v", "risk", "stock", "east", "north", "cell")
+
+
+@query(f"WITH {FCC}, a AS (SELECT count(*) FILTER (v IN (0, 1)) * 0.09::DOUBLE ha FROM fcc) SELECT CAST(greatest(10000, least(50000, round_even(1000 * ha / 1e6::DOUBLE, 0))) AS INT) size, CAST(greatest(10, least(50, round_even(1000 * ha / 1e6::DOUBLE, 0))) AS INT) small FROM a")
+def adapted_sample_size(spark, sf_dir):
+    ha = demo.fcc(spark, sf_dir).filter("v in (0, 1)").count() * META.pixel_ha
+    return spark.createDataFrame([(sample.adapted_size(ha), sample.adapted_size(ha, 10, 50))], "size int, small int")
+
+
 @query(f"WITH b AS (SELECT event_id, ((((1234 + event_id + 1) % 4294967296) * ({_M}) + (1234 >> 16)) % 4294967296) a FROM events), c AS (SELECT event_id, (((a + 2 + 1) % 4294967296) * ({_M}) + (a >> 16)) % 4294967296 h FROM b), r AS (SELECT *, row_number() OVER (ORDER BY h, event_id) r, count(*) OVER () n FROM c) SELECT event_id, r <= round_even(n * 30 / 100.0::DOUBLE, 0) is_test FROM r")
 def train_test_split(spark, sf_dir):
     return sample.holdout(table(spark, sf_dir, "events").select("event_id"), "event_id", 30, 2)
 
 
-@query()
+@query(f"WITH n AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY {draw_sql('s_suppkey')}, s_suppkey) - 1 i, count(*) OVER () n FROM supplier), d AS (SELECT CAST(floor({uniform_sql('k', seed=1235)} * (SELECT max(n) FROM n)) AS BIGINT) i FROM range(0, 500) g(k)) SELECT s_suppkey, s_acctbal FROM d JOIN n USING (i)")
 def bootstrap_draw(spark, sf_dir):
-    return sample.bootstrap(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), 500)
+    return sample.bootstrap(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), 500, "s_suppkey")
 
 
 @query("WITH q AS (SELECT quantile_cont(value, 0.7) c FROM events) SELECT event_id, CAST(value > c AS INT) pred FROM events, q")
@@ -530,13 +589,18 @@ def wrast_rho(spark, sf_dir):
     return spatial.spatial_effects(_effects(spark, sf_dir), 5, 5)
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) id, round(s_suppkey % 360 - 180.0::DOUBLE, 6) lon, round(radians(s_suppkey % 360 - 180.0::DOUBLE) * 6378137.0, 3) east FROM supplier")
+_E2 = "0.0818191908426215::DOUBLE"
+
+
+@query(f"""WITH p AS (SELECT CAST(s_suppkey AS BIGINT) id, s_suppkey % 360 - 180.0::DOUBLE lon, s_acctbal % 80 lat FROM supplier)
+ SELECT id, round(lon, 6) lon, round(lat, 6) lat, round(radians(lon) * 6378137.0, 3) east,
+ round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2) * pow((1 - {_E2} * sin(radians(lat))) / (1 + {_E2} * sin(radians(lat))), {_E2} / 2)), 3) north FROM p""")
 def reproject_points(spark, sf_dir):
+    """There and back: the way back has to give the latitude that SQL starts from."""
     lon, lat = (F.col("s_suppkey") % 360) - 180.0, (F.col("s_acctbal") % 80)
     east, north = spatial.to_mercator(lon, lat)
-    back, _ = spatial.from_mercator(east, north)
-    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.round(back, 6).alias("lon"), F.round(east, 3).alias("east"))
-    return p
+    back, up = spatial.from_mercator(east, north)
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.round(back, 6).alias("lon"), F.round(up, 6).alias("lat"), F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
 @query()
@@ -591,19 +655,31 @@ def iso_lookup(spark, sf_dir):
     return planning.lookup_code(nation, nation.agg(F.min("n_name")).first()[0], "n_name", "n_regionkey")
 
 
-@query("SELECT n_name || '-' || lpad(CAST(i AS VARCHAR), 2, '0') tile FROM nation, range(1, 4) g(i)")
+@query(f"""WITH {_BOX}, r AS (SELECT CAST(ceil((floor(xmin) + 180) / 5) AS INT) l, CAST(ceil((ceil(xmax) + 180) / 5) AS INT) rr, CAST(ceil((60 - ceil(ymax)) / 5) AS INT) t, CAST(ceil((60 - floor(ymin)) / 5) AS INT) bb FROM b),
+ w AS (SELECT l, CASE WHEN l = rr THEN rr + 1 ELSE rr END r, t, CASE WHEN t = bb THEN bb + 1 ELSE bb END b FROM r)
+ SELECT CAST(i AS INT) i, CAST(j AS INT) j, 'srtm_' || lpad(i::VARCHAR, 2, '0') || '_' || lpad(j::VARCHAR, 2, '0') tile FROM w, range(0, 100) a(i), range(0, 100) c(j) WHERE i BETWEEN l AND r AND j BETWEEN t AND b""")
 def tile_product(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    return n.select(F.concat_ws("-", "n_name", F.lpad(F.col("i").cast("string"), 2, "0")).alias("tile"))
+    k = F.col("n_nationkey")
+    box = table(spark, sf_dir, "nation").select((k * 7.3 - 90).alias("xmin"), (k * 7.3 - 88).alias("xmax"), (k * 2.1 - 40).alias("ymin"), (k * 2.1 - 34).alias("ymax"))
+    return planning.tiles(planning.tile_range(box))
 
 
-@query(f"WITH {FCC} SELECT s.name AS \"set\", count(*) n FROM (VALUES ('calibration'), ('validation'), ('historical'), ('forecast')) s(name), fcc WHERE v = CASE s.name WHEN 'historical' THEN 0 ELSE 1 END GROUP BY 1")
+@query(f"""WITH {FCC123}, {_DATES}, l AS (SELECT 'fcc12' n, CASE WHEN t1 = 1 THEN t2 ELSE 255 END v FROM t UNION ALL SELECT 'fcc23', CASE WHEN t2 = 1 THEN t3 ELSE 255 END FROM t UNION ALL SELECT 'fcc13', CASE WHEN t1 = 1 THEN t3 ELSE 255 END FROM t
+ UNION ALL SELECT 'forest_t1', t1 FROM t UNION ALL SELECT 'forest_t2', t2 FROM t UNION ALL SELECT 'forest_t3', t3 FROM t)
+ SELECT s.s AS "set", s.u AS name, v, count(*) n FROM (VALUES ('calibration', 'fcc', 'fcc12'), ('calibration', 'forest', 'forest_t1'), ('validation', 'fcc', 'fcc23'), ('validation', 'forest', 'forest_t2'), ('historical', 'fcc', 'fcc13'), ('historical', 'forest', 'forest_t1'), ('forecast', 'fcc', 'fcc23'), ('forecast', 'forest', 'forest_t3')) s(s, u, d) JOIN l ON l.n = s.d GROUP BY 1, 2, 3""")
 def variable_sets(spark, sf_dir):
-    f = demo.fcc(spark, sf_dir)
-    rasters = {n: f for n in {v for s in raster.VARIABLE_SETS.values() for v in s.values()}}
-    bound = raster.bind_variable_sets(rasters)
-    parts = [r["fcc"].filter(F.col("v") == (0 if s == "historical" else 1)).select(F.lit(s).alias("set")) for s, r in bound.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    """Each set counts its own dated rasters under their undated names."""
+    t = _dates(spark, sf_dir)
+    change = lambda a, b: pixels.with_nodata(pixels.kept_forest(F.col(a), F.col(b)))
+    dated = {"fcc12": change("t1", "t2"), "fcc23": change("t2", "t3"), "fcc13": change("t1", "t3"), **{f"forest_t{i}": F.col(f"t{i}") for i in (1, 2, 3)}}
+    # Distances play no part here; they are bound like the rest.
+    names = {n for s in raster.VARIABLE_SETS.values() for n in s.values()}
+    rasters = {n: t.select(*KEY, dated.get(n, F.lit(0)).alias("v")) for n in names}
+    parts = [r[u].select(F.lit(s).alias("set"), F.lit(u).alias("name"), "v") for s, r in raster.bind_variable_sets(rasters).items() for u in ("fcc", "forest")]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("set", "name", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {RISK} SELECT CAST(CASE WHEN v = 0 THEN 0 WHEN v < 39322 THEN 1 WHEN v < 52429 THEN 2 ELSE 3 END AS INT) stop, count(*) n FROM risk GROUP BY 1")
@@ -644,7 +720,7 @@ def predict_raster(spark, sf_dir):
     return models.predict_raster(model, d, ("value", "uid"), None)
 
 
-@query()
+@query(f"WITH {_SAMPLE}, m AS (SELECT avg(value) a, stddev_pop(value) b FROM s), z AS (SELECT y, x, -0.5::DOUBLE + 0.8::DOUBLE * ((value - a) / b) + (y // 10 * 10 + x // 10) % 7 / 10.0::DOUBLE z FROM s, m), p AS (SELECT y, x, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END p FROM z) SELECT y, x, CAST(trunc((greatest(p, 1e-6::DOUBLE) * 1e6::DOUBLE - 1) * 65534.0::DOUBLE / 999999.0::DOUBLE + 1) AS INT) v FROM p")
 def predict_raster_icar(spark, sf_dir):
     d = _sample(spark, sf_dir).withColumn("rho", (F.col("cell") % 7) / 10.0)
     design = formula.fit("I(1 - fcc23) + trial ~ scale(value) + cell", d, with_cell=True)
@@ -652,7 +728,16 @@ def predict_raster_icar(spark, sf_dir):
     return models.predict_raster_icar(model, d, ("value",), forest=None)
 
 
-@query()
+@query(f"WITH {_SAMPLE}, m AS (SELECT avg(value) a, stddev_pop(value) b FROM s), z AS (SELECT y, x, -0.5::DOUBLE + 0.8::DOUBLE * ((value - a) / b) + coalesce((y // 10 * 10 + x // 10) % 5 / 4.0::DOUBLE, 0) z FROM s, m) SELECT y, x, round(CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END, 9) p FROM z")
+def icar_score(spark, sf_dir):
+    """Probabilities of a spatial model from each cell's own effect."""
+    d = _sample(spark, sf_dir)
+    effects = d.select("cell").distinct().withColumn("rho", (F.col("cell") % 5) / 4.0)
+    design = formula.fit("I(1 - fcc23) + trial ~ scale(value) + cell", d, with_cell=True)
+    return rounded(icar.IcarModel(design, "", (-0.5, 0.8), d, effects).score(d).select(*KEY, "p"), 9)
+
+
+@query(f"WITH {_SAMPLE} SELECT y, x, round(1 / (1 + value / 100.0::DOUBLE), 9) p FROM s")
 def predict_with_function(spark, sf_dir):
     d = _sample(spark, sf_dir)
     return models.predict_with(lambda x: 1.0 / (1.0 + x["value"] / 100.0), d, ["value"]).select(*KEY, F.round("p", 9).alias("p"))
@@ -667,7 +752,7 @@ def glm_fit(spark, sf_dir):
 @query()
 def rf_fit(spark, sf_dir):
     d = _sample(spark, sf_dir)
-    m = models.fit_forest("I(1 - fcc23) ~ value + uid", d, trees=10, depth=6)
+    m = models.fit_forest("I(1 - fcc23) ~ value + uid", d)
     return m.score(d).groupBy("fcc23").agg(F.round(F.avg("p"), 6).alias("mean_p"), F.count(F.lit(1)).alias("n"))
 
 
@@ -683,7 +768,7 @@ def icar_fit(spark, sf_dir):
 
 @query()
 def cross_validation(spark, sf_dir):
-    return models.cross_validation(_sample(spark, sf_dir), "I(1 - fcc23) ~ scale(value) + scale(uid)", "id", "glm", repetitions=2)
+    return models.cross_validation(_sample(spark, sf_dir), "I(1 - fcc23) ~ scale(value) + scale(uid)", "id", "glm")
 
 
 @query("WITH m AS (SELECT stddev_pop(value) sd FROM events) SELECT round((1 / (1 + exp(-(-1 + 0.5::DOUBLE * 10 / sd))) - 1 / (1 + exp(1.0::DOUBLE))) / (1 / (1 + exp(1.0::DOUBLE))), 9) change FROM m")

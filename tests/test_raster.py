@@ -178,9 +178,34 @@ def test_samples_are_exact_and_repeat(spark):
     assert a == b and [sum(r[2] == k for r in a) for k in (0, 1)] == [50, 50]
     two = sample.two_stage(rows, F.floor(F.col("y") / 10), 60)
     assert two.distinct().count() == two.count() <= 120
+    assert sorted(map(tuple, sample.two_stage(rows, F.floor(F.col("y") / 10), 60).collect())) == sorted(map(tuple, two.collect()))
     assert sample.adapted_size(2.0e7) == 20000 and sample.adapted_size(1.0) == 10000
 
 
+def test_draws_of_large_totals_do_not_overflow(spark):
+    """A draw times a total of 5e9 pixels stays a double; in 64-bit integers the product of a 32-bit draw would not fit."""
+    u = spark.range(1000).select((sample.uniform(F.col("id")) * 5.0e9).alias("at")).agg(F.min("at"), F.max("at"), F.avg("at")).first()
+    assert 0 <= u[0] and u[1] < 5.0e9 and 2.0e9 < u[2] < 3.0e9
+
+
+def test_row_numbers_and_splits(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    got = sample.numbered(df, sample.draw_key(F.col("k")), ["k"], "place").collect()
+    assert sorted(r.place for r in got) == list(range(1000))
+    split = sample.holdout(df, "k", 30, 0)
+    assert split.filter("is_test").count() == 300 and split.count() == 1000
+    assert sample.holdout(df.filter("false"), "k", 30, 0).count() == 0
+
+
+def test_lookup_moves_only_the_sample(spark):
+    layers = spark.range(10_000).select((F.col("id") / 100).cast("int").alias("y"), (F.col("id") % 100).cast("int").alias("x"), F.col("id").alias("b"))
+    picks = spark.createDataFrame([(3, 4, 0), (7, 8, 1), (500, 0, 1)], "y int, x int, v int")
+    out = sample.lookup(picks, layers)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(3, 4, 0, 304), (7, 8, 1, 708), (500, 0, 1, None)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("broadcast") >= 2
+
+
 def test_sampler_recovers_parameters():
     rng = np.random.default_rng(5)
     cells = [(i, j) for i in range(6) for j in range(6)]
