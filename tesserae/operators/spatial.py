@@ -142,44 +142,68 @@ def interpolate_effects(effects: DataFrame, nrow: int, ncol: int, km: int = 10,
     return spline_refine(spatial_effects(effects, nrow, ncol), nrow, ncol, km // to_km)
 
 
-def polygon_pixels(rings: list[list[tuple[float, float]]], meta: RasterMeta, touched: bool = False) -> list[tuple[int, int]]:
-    """Pixels of a polygon (outer ring and holes): centres inside by the even-odd rule; ``touched`` adds any pixel an edge runs through."""
-    edges = [(r[i], r[(i + 1) % len(r)]) for r in rings for i in range(len(r))]
-    to_px = lambda p: ((p[0] - meta.xmin) / meta.xres, (meta.ymax - p[1]) / meta.yres)
-    segs = [(*to_px(a), *to_px(b)) for a, b in edges]
-    out = set()
-    low = max(0, math.floor(min(min(s[1], s[3]) for s in segs)))
-    high = min(meta.nrow - 1, math.floor(max(max(s[1], s[3]) for s in segs)))
-    for y in range(low, high + 1):
+#: Rows of a polygon that one task turns into runs.
+BAND = 256
+
+
+def band_runs(segs: np.ndarray, rows: range, ncol: int, touched: bool = False) -> list[tuple[int, int, int]]:
+    """Runs (y, first x, last x) of a polygon in ``rows``: centres inside by the even-odd rule; ``touched`` adds any pixel an edge runs through.
+
+    A pixel's upper and left borders are its own, its lower and right ones are not. ``segs`` (x1, y1, x2, y2 in pixels) are all edges of outer ring and holes that meet these rows. Runs of a row do not overlap.
+    """
+    x1, y1, x2, y2 = segs.T
+    out = []
+    for y in rows:
         line = y + 0.5
-        cuts = sorted(x1 + (line - y1) * (x2 - x1) / (y2 - y1) for x1, y1, x2, y2 in segs if (y1 <= line) != (y2 <= line))
-        for a, b in zip(cuts[::2], cuts[1::2], strict=True):
-            out.update((y, x) for x in range(max(0, math.ceil(a - 0.5)), min(meta.ncol - 1, math.ceil(b - 0.5) - 1) + 1))
+        at = (y1 <= line) != (y2 <= line)
+        cuts = np.sort(x1[at] + (line - y1[at]) * (x2[at] - x1[at]) / (y2[at] - y1[at]))
+        spans = [(math.ceil(a - 0.5), math.ceil(b - 0.5) - 1) for a, b in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True)]
         if touched:
-            for x1, y1, x2, y2 in segs:
-                lo, hi = max(min(y1, y2), y), min(max(y1, y2), y + 1)
-                if lo > hi:
-                    continue
-                if y1 == y2:
-                    xs = (x1, x2)
-                else:
-                    xs = tuple(x1 + (t - y1) * (x2 - x1) / (y2 - y1) for t in (lo, hi))
-                out.update((y, x) for x in range(max(0, math.floor(min(xs))), min(meta.ncol - 1, math.floor(max(xs))) + 1))
-    return sorted(out)
+            lo, hi = np.maximum(np.minimum(y1, y2), y), np.minimum(np.maximum(y1, y2), y + 1)
+            near = (lo <= hi) & (np.minimum(y1, y2) < y + 1)
+            a, b, c, d = x1[near], y1[near], x2[near], y2[near]
+            flat = b == d
+            run = np.where(flat, 1.0, d - b)
+            xs = [np.where(flat, e, a + (t[near] - b) * (c - a) / run) for t, e in ((lo, a), (hi, c))]
+            spans += zip(np.floor(np.minimum(*xs)).astype(int).tolist(), np.floor(np.maximum(*xs)).astype(int).tolist(), strict=True)
+        merged: list[list[int]] = []
+        for first, last in sorted((max(0, f), min(ncol - 1, t)) for f, t in spans):
+            if first > last:
+                continue
+            if merged and first <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], last)
+            else:
+                merged.append([first, last])
+        out += [(y, f, t) for f, t in merged]
+    return out
 
 
 def rasterize(polygons: DataFrame, meta: RasterMeta, touched: bool = False) -> DataFrame:
-    """(id, y, x) of the pixels of each polygon; ``polygons`` has id and rings, an array of arrays of (x, y)."""
-    ship(polygons.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, rings in zip(pdf["id"], pdf["rings"], strict=True):
-                shaped = [[(float(p["x"]), float(p["y"])) if isinstance(p, dict) else (float(p[0]), float(p[1])) for p in r] for r in rings]
-                got = polygon_pixels(shaped, meta, touched)
-                yield pd.DataFrame({"id": [i] * len(got), "y": [p[0] for p in got], "x": [p[1] for p in got]})
+    """(id, y, x) of the pixels of each polygon; ``polygons`` has id and rings, an array of arrays of (x, y).
 
-    return polygons.select("id", "rings").mapInPandas(run, f"id {dict(polygons.dtypes)['id']}, y int, x int")
+    Edges go to the bands of rows they meet. A task turns one band of one polygon into runs, and the runs become pixels in the JVM, so
+    neither a large polygon nor its pixels are ever held in one place.
+    """
+    ship(polygons.sparkSession)
+    ring = F.explode("rings")
+    edges = F.transform("ring", lambda p, i: F.struct(p.alias("a"), F.get("ring", (i + 1) % F.size("ring")).alias("b")))
+    lines = polygons.select("id", ring.alias("ring")).select("id", F.explode(edges).alias("e"))
+    px = lambda p: (F.col(f"e.{p}.x").cast("double") - meta.xmin) / meta.xres
+    py = lambda p: (meta.ymax - F.col(f"e.{p}.y").cast("double")) / meta.yres
+    segs = lines.select("id", px("a").alias("x1"), py("a").alias("y1"), px("b").alias("x2"), py("b").alias("y2"))
+    row = lambda y: F.least(F.greatest(F.floor(y), F.lit(0)), F.lit(meta.nrow - 1))
+    top, bottom = F.least("y1", "y2"), F.greatest("y1", "y2")
+    met = segs.filter((bottom >= 0) & (top <= meta.nrow))
+    met = met.withColumn("band", F.explode(F.sequence(F.floor(row(top) / BAND), F.floor(row(bottom) / BAND))))
+    kind = dict(polygons.dtypes)["id"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = range(int(key[1]) * BAND, min(meta.nrow, (int(key[1]) + 1) * BAND))
+        got = band_runs(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), rows, meta.ncol, touched)
+        return pd.DataFrame({"id": [key[0]] * len(got), "y": [g[0] for g in got], "a": [g[1] for g in got], "b": [g[2] for g in got]})
+
+    runs = met.groupBy("id", "band").applyInPandas(run, f"id {kind}, y int, a int, b int")
+    return runs.select("id", "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
 def crop(raster: DataFrame, polygons: DataFrame, meta: RasterMeta) -> DataFrame:

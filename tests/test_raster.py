@@ -99,15 +99,20 @@ def test_spline_keeps_a_constant_and_skips_missing(spark):
     assert np.allclose(ramp[0], [0, 0, 0.5, 1.5, 2.5, 3.5, 4, 4])
 
 
-def test_polygons():
+def test_polygons(spark):
     meta = RasterMeta(10, 10, xres=1.0, yres=1.0)
+
+    def pixels_of(rings, meta, touched=False):
+        df = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in r] for r in rings])], "id int, rings array<array<struct<x:double,y:double>>>")
+        return sorted((r.y, r.x) for r in spatial.rasterize(df, meta, touched).collect())
+
     square = [(2.0, -2.0), (5.0, -2.0), (5.0, -5.0), (2.0, -5.0)]
-    inside = spatial.polygon_pixels([square], meta)
+    inside = pixels_of([square], meta)
     assert inside == [(y, x) for y in range(2, 5) for x in range(2, 5)]
     hole = [(3.0, -3.0), (4.0, -3.0), (4.0, -4.0), (3.0, -4.0)]
-    assert (3, 3) not in spatial.polygon_pixels([square, hole], meta)
+    assert (3, 3) not in pixels_of([square, hole], meta)
     thin = [(0.1, -0.1), (9.9, -9.8), (9.9, -9.9)]
-    touched = spatial.polygon_pixels([thin], meta, touched=True)
+    touched = pixels_of([thin], meta, touched=True)
     assert {(i, i) for i in range(10)} <= set(touched)
 
 
@@ -206,6 +211,36 @@ def test_lookup_moves_only_the_sample(spark):
     assert "LeftSemi" in plan and plan.count("broadcast") >= 2
 
 
+def test_rasterize_in_bands(spark, monkeypatch):
+    """Stars with holes over several bands against a test of every pixel's centre."""
+    rng = np.random.default_rng(7)
+    meta = RasterMeta(70, 90, 0.0, 90.0, 1.0, 1.0)
+
+    def star(cx, cy, r, n):
+        t = np.sort(rng.random(n)) * 2 * np.pi
+        k = r * (0.3 + 0.7 * rng.random(n))
+        return [(float(cx + a * np.cos(u)), float(cy + a * np.sin(u))) for a, u in zip(k, t, strict=True)]
+
+    shapes = {1: [star(30, 50, 45, 17), star(30, 50, 9, 7)], 2: [star(60, 10, 20, 9)], 3: [[(-20.0, -20.0), (200.0, -20.0), (200.0, 200.0), (-20.0, 200.0)]]}
+
+    def inside(px, py, rings):
+        odd = False
+        for r in rings:
+            for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1], strict=True):
+                if (ay <= py) != (by <= py) and px < ax + (py - ay) * (bx - ax) / (by - ay):
+                    odd = not odd
+        return odd
+
+    want = {(i, y, x) for i, rings in shapes.items() for y in range(90) for x in range(70) if inside(x + 0.5, 90 - y - 0.5, rings)}
+    df = spark.createDataFrame([(i, [[{"x": x, "y": y} for x, y in r] for r in rings]) for i, rings in shapes.items()], "id int, rings array<array<struct<x:double,y:double>>>")
+    for band in (256, 16):
+        monkeypatch.setattr(spatial, "BAND", band)
+        got = [tuple(r) for r in spatial.rasterize(df, meta).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        touched = {tuple(r) for r in spatial.rasterize(df, meta, touched=True).collect()}
+        assert want <= touched and len(touched) > len(want)
+
+
 def test_sampler_recovers_parameters():
     rng = np.random.default_rng(5)
     cells = [(i, j) for i in range(6) for j in range(6)]
