@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import quality
-from tesserae.llm._common import WORD, global_row_number, let, materialize, small_or_plain
+from tesserae.llm._common import fresh, global_row_number, materialize, small_or_plain
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -25,13 +25,15 @@ ODD = "#*$%&|<>0123456789!@^~_=+{}[]"
 WEIGHED = tuple(r for r in quality.RULES if r.name != "repeated_windows")
 
 
-def quality_weight(text: Column) -> Column:
-    """In (0, 1]: the share of characters that are not symbols, digits or bars, 0.05 at least, halved by every rule of WEIGHED that the text fails."""
+def quality_weight(text: Column, m: Column) -> Column:
+    """In (0, 1]: the share of characters that are not symbols, digits or bars, 0.05 at least, halved by every rule of WEIGHED that fails.
+
+    ``m`` are the ledger's measurements of the text, without repeats.
+    """
     n = F.length(text)
-    odd = n - F.length(F.translate(text, ODD, ""))
+    odd = F.regexp_count(text, F.lit(quality.one_of(ODD)))
     clean = F.greatest(F.lit(0.05), F.coalesce(F.when(n > 0, 1.0 - odd / n), F.lit(0.05)))
-    failed = let(quality.measurements(text, repeats=False), lambda m: F.bit_count(quality.ledger_bits(m, WEIGHED)))
-    return clean / F.pow(F.lit(2.0), failed)
+    return clean / F.pow(F.lit(2.0), F.bit_count(quality.ledger_bits(m, WEIGHED)))
 
 
 def row_hash(seed: int, *parts: Column) -> Column:
@@ -88,13 +90,16 @@ def _mixed(docs: DataFrame, keep: Sequence[str], weights: Sequence[float], seed:
     """The columns ``keep`` as k_0, k_1, ..., and size, source_size, target, times."""
     text, source = F.col("text"), F.col("source")
     digest = row_hash(seed, F.col("doc_id"), text)
+    m = fresh(docs, "__m")
+    # The measurements are taken once; words are among them.
+    measured = docs.withColumn(m, quality.measurements(text, repeats=False))
     rows = materialize(
-        docs.select(
+        measured.select(
             *[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)],
             source.isNull().alias("no_source"),
             F.coalesce(source, F.lit("")).alias("src"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            exponential_key(digest, quality_weight(text)).alias("key"),
+            F.col(m)["n_words"].alias("size"),
+            exponential_key(digest, quality_weight(text, F.col(m))).alias("key"),
             digest.alias("digest"),
         ),
         "mix-rows",

@@ -7,6 +7,7 @@ path is DataFrame functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -96,6 +97,11 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(hashes, from_hashes))
 
 
+def one_of(characters: str) -> str:
+    """A pattern for any one of ``characters``."""
+    return f"[{re.escape(characters)}]"
+
+
 def measurements(text: Column, repeats: bool = True) -> Column:
     """One struct of counts over the whole text; a null text counts as empty. Without ``repeats``, n_repeat_words is null.
 
@@ -107,24 +113,21 @@ def measurements(text: Column, repeats: bool = True) -> Column:
     def of(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         words = F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1))
-        upper = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", ""))
-        symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
-        blanks = F.length(t) - F.length(F.translate(t, " \t\n\x0b\x0c\r", ""))
-        return let(
-            lines,
-            lambda ls: let(
-                words,
-                lambda ws: F.struct(
-                    F.size(ws).cast("long").alias("n_words"),
-                    (F.length(t) - blanks).cast("long").alias("word_chars"),
-                    symbols.cast("long").alias("n_symbols"),
-                    F.size(ls).cast("long").alias("n_lines"),
-                    (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-                    (_repeat_words(ws) if repeats else F.lit(None).cast("long")).alias("n_repeat_words"),
-                    upper.cast("long").alias("n_upper"),
-                ),
-            ),
-        )
+        upper, symbols, blanks = (F.regexp_count(t, F.lit(c)) for c in ("[A-ZÀ-ÖØ-Þ]", one_of(SYMBOLS), r"[\x20\x09-\x0D]"))
+        def counted(ls: Column, n_words: Column, n_repeat_words: Column) -> Column:
+            return F.struct(
+                n_words.cast("long").alias("n_words"),
+                (F.length(t) - blanks).cast("long").alias("word_chars"),
+                symbols.cast("long").alias("n_symbols"),
+                F.size(ls).cast("long").alias("n_lines"),
+                (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+                n_repeat_words.alias("n_repeat_words"),
+                upper.cast("long").alias("n_upper"),
+            )
+
+        if not repeats:
+            return let(lines, lambda ls: counted(ls, F.regexp_count(t, F.lit(WORD)), F.lit(None).cast("long")))
+        return let(lines, lambda ls: let(words, lambda ws: counted(ls, F.size(ws), _repeat_words(ws))))
 
     return let(text, of)
 

@@ -247,7 +247,7 @@ def test_mix_edges(docs, none):
 def test_weights_follow_the_ledger(spark):
     texts = {"good": "plain words in a row make a text " * 10, "short": "plain words", "loud": "SHOUTING WORDS ALL OVER " * 20, "signs": "# * word $ % " * 20, None: None}
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "k string, text string")
-    w = {r.k: r.w for r in df.select("k", mixing.quality_weight(F.col("text")).alias("w")).collect()}
+    w = {r.k: r.w for r in df.select("k", mixing.quality_weight(F.col("text"), quality.measurements(F.col("text"), repeats=False)).alias("w")).collect()}
     assert w["good"] > 2 * w["loud"] - 1e-9 and w["good"] == 1.0 and w["short"] == 0.5 and w["signs"] < 0.5 and 0 < w[None] < 0.05
 
 
