@@ -49,6 +49,9 @@ class BpeCodec:
         vocab: dict[str, int] = spec["model"]["vocab"]
         chars = byte_characters()
         to_byte = {c: b for b, c in chars.items()}
+        odd = [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or (t.get("normalized") and spec.get("normalizer"))]
+        if spec.get("normalizer") or odd:
+            raise ValueError(f"{path}: normalisers and added tokens that strip, join or stand alone are not supported: {odd}")
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*vocab.values(), *added.values()]) + 1
         self.strings: list[bytes] = [b""] * self.size
@@ -140,10 +143,19 @@ def _append(batch: pa.RecordBatch, arrays: list[pa.Array], schema: pa.Schema) ->
     return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *schema.names])
 
 
+def _without(df: DataFrame, to: str, source: str) -> DataFrame:
+    if to.lower() == source.lower():
+        raise ValueError(f"the result needs another name than {source}")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != to.lower()])
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with an int array column of token ids. A null or empty text has no ids. ``to`` must be a new name."""
+    """``docs`` with an int array column of token ids. A null or empty text has no ids; a text of any length is encoded whole.
 
+    Rows stand alone, so repeats agree; an empty table gives an empty result. An existing column ``to`` is replaced.
+    """
     ship(docs.sparkSession)
+    docs = _without(docs, to, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -158,9 +170,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``rows`` with the text of the id array; null ids give a null text. ``to`` must be a new name."""
+    """``rows`` with the text of the id array; null ids give a null text, no ids an empty one.
 
+    Rows stand alone; an empty table gives an empty result. An existing column ``to`` is replaced.
+    """
     ship(rows.sparkSession)
+    rows = _without(rows, to, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -167,6 +167,21 @@ def test_bpe_on_tables(docs, none, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     back = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
     assert all((r.text or "") == r.decoded for r in back.collect())
+    # Columns called like the results are replaced.
+    again = bpe.decode(bpe.encode(docs.withColumn("decoded", F.lit(1)), path), path)
+    assert sorted(again.columns) == sorted([*docs.columns, "decoded"]) and all((r.text or "") == r.decoded for r in again.collect())
+    assert bpe.encode(none, path).count() == 0
+
+
+def test_bpe_refuses_what_it_does_not_do(tmp_path):
+    import json
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"] = [{"id": 0, "content": "<x>", "lstrip": True}]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not supported"):
+        bpe.BpeCodec(str(tmp_path / "t.json"))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
