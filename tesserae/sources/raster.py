@@ -78,9 +78,10 @@ def store(df: DataFrame, path: str, meta: RasterMeta, tile: int = 1024, files: i
     ranged.sortWithinPartitions("__tile", *KEY).drop("__tile").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def store_bucketed(df: DataFrame, table: str, meta: RasterMeta, tile: int = 1024, buckets: int = 256) -> None:
-    """Save as a table bucketed by (y, x): rasters of one grid then join pixel by pixel without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+def store_bucketed(df: DataFrame, table: str, buckets: int = 256, path: str | None = None) -> None:
+    """Save as a table bucketed by (y, x), at ``path`` if given: rasters of one grid then join pixel by pixel without a shuffle."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, *KEY).sortBy(*KEY)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def catalogue(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
