@@ -21,10 +21,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text, n_chars. A null page or one without main text has an empty text."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens and the digests of its ids and of the text decoded from them; a null text counts as empty."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -53,6 +55,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, size, text_crc32 and its shard and slot by the law rows; a null text has size 1."""
     dealt = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=20240229)
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -60,6 +63,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, the numbers and the digest of the base spans, and all spans with those of high entropy; a null text has none."""
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = F.col("secrets")["base"], F.col("secrets")["spans"]
     n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
@@ -74,15 +78,18 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, class_id, class_size and whether it is the one kept; a text without words is a class of its own."""
     classes = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", "class_size", "kept")
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query (vec_id divisible by 20) its 20 best other rows: query_id, rank, vec_id, score; unusable vectors take no part."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, measurements, base_failed, kept by the policy prod-1, and the ledger's bits; a null text has no words and fails."""
     ledger = quality.with_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m, bits = F.col("ledger")["m"], F.col("ledger")["bits"]
     return ledger.select(
@@ -95,11 +102,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, size, source_size, target of its source, and the words taken of it; a null source is a source of its own."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, expected_grade, tail_probability and kept; a text without words has zeros and is not kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.fit(docs, classifier.graded(table(spark, sf_dir, "labels")))
     rated = classifier.score(docs, model)
