@@ -120,13 +120,18 @@ def deforest_diffusion(states: DataFrame, t0: int, t: int) -> DataFrame:
     return states.sparkSession.createDataFrame(out, f"state {dict(states.dtypes)['state']}, forest_t0 double, forest_t double, defor double")
 
 
-def years_to_exhaustion(states: DataFrame, t0: int) -> DataFrame:
-    """(state, ny, year): how many years until each state's forest is gone under yearly diffusion."""
+def years_to_exhaustion(states: DataFrame, t0: int, most: int = 100_000) -> DataFrame:
+    """(state, ny, year): how many years until each state's forest is gone under yearly diffusion.
+
+    If the whole forest would last longer than ``most`` years at the rates given, it is an error: years are worked one by one.
+    """
     rows = states.select("state", F.col("forest").cast("double"), F.col("defor").cast("double")).orderBy("state").collect()
     forest, annual = [r.forest for r in rows], [r.defor for r in rows]
     gone: list[int | None] = [None] * len(rows)
     t = 0
     if sum(annual) > 0:
+        if sum(forest) > most * sum(annual):
+            raise ValueError(f"at these rates the forest lasts longer than {most} years")
         while sum(annual) * t < sum(forest):
             for i, d in enumerate(diffuse(forest, annual, t)):
                 if gone[i] is None and d >= forest[i]:

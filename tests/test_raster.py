@@ -177,6 +177,14 @@ def test_diffusion_keeps_the_total():
     assert project.diffuse([1.0, 1.0], [5.0, 5.0], 1) == [1.0, 1.0]
 
 
+def test_years_end(spark):
+    tiny = spark.createDataFrame([("a", 1e9, 1e-3)], "state string, forest double, defor double")
+    with pytest.raises(ValueError, match="longer"):
+        project.years_to_exhaustion(tiny, 2020)
+    some = spark.createDataFrame([("a", 10.0, 5.0), ("b", 30.0, 5.0)], "state string, forest double, defor double")
+    assert {r.state: r.ny for r in project.years_to_exhaustion(some, 2020).collect()} == {"a": 2, "b": 4}
+
+
 def test_samples_are_exact_and_repeat(spark):
     rows = raster_of(spark, np.random.default_rng(2).integers(0, 2, (40, 40)), "int")
     a, b = (sorted(map(tuple, sample.stratified(rows, 50).collect())) for _ in range(2))
