@@ -26,7 +26,9 @@ def rates_by_class(fcc123: DataFrame, risk: DataFrame, meta: RasterMeta, years:
     zero = F.lit(0).cast("long")
     full = classes.join(per_class, "cat", "left").select("cat", F.coalesce("nfor", zero).alias("nfor"), F.coalesce("ndefor", zero).alias("ndefor"))
     full = full.withColumns({"rate_obs": annual_rate(F.col("ndefor"), F.col("nfor"), years), "rate_mod": class_rate(F.col("cat"))})
-    factor = per_class.agg(F.try_divide(F.sum("ndefor"), F.sum(F.col("nfor") * class_rate(F.col("cat")))).alias("factor"))
+    # Modelled rates are whole multiples of 1e-6 / 65534, so their sum is taken in whole numbers, exact in any order.
+    parts = F.sum(F.col("nfor") * ((F.col("cat") - 1).cast("decimal(12,0)") * 999999 + 65534)).cast("double")
+    factor = per_class.agg(F.try_divide(F.sum("ndefor") * F.lit(65534.0e6), parts).alias("factor"))
     # ``factor`` is one row.
     scaled = full.crossJoin(F.broadcast(factor)).withColumn("rate_abs", F.col("factor") * F.col("rate_mod"))
     return scaled.select(

@@ -34,9 +34,9 @@ CUT = """h AS (SELECT CAST(g.v AS INT) v, coalesce(n, 0) n FROM range(1, 65536)
 FUTURE = f"{RISK}, {CUT}, future AS (SELECT y, x, CASE WHEN v = 0 THEN 255 WHEN v >= threshold THEN 0 ELSE 1 END v FROM risk CROSS JOIN cut)"
 PAIRS = f"{FCC}, {FUTURE}, pairs AS (SELECT f.y, f.x, f.v obs, p.v pred FROM fcc f JOIN future p USING (y, x))"
 RATES = f"""per AS (SELECT r.v cat, count(*) FILTER (f.v > 0) nfor, count(*) FILTER (f.v = 1) ndefor FROM fcc123 f JOIN risk r USING (y, x) WHERE r.v BETWEEN 1 AND 65535 GROUP BY 1),
- fac AS (SELECT sum(ndefor) / nullif(sum(nfor * ({RATE})), 0) factor FROM per),
+ fac AS (SELECT sum(ndefor)::DOUBLE * 65534000000.0::DOUBLE / nullif(sum(nfor::HUGEINT * ((cat - 1)::HUGEINT * 999999 + 65534)), 0)::DOUBLE factor FROM per),
  rates AS (SELECT CAST(g.c AS INT) cat, coalesce(nfor, 0) nfor, coalesce(ndefor, 0) ndefor FROM range(1, 65536) g(c) LEFT JOIN per ON per.cat = g.c),
- full_ AS (SELECT cat, nfor, ndefor, CASE WHEN nfor > 0 THEN 1 - pow(1 - ndefor::DOUBLE / nfor, 0.1::DOUBLE) END rate_obs, {RATE} rate_mod, factor * {RATE} rate_abs, factor * {RATE} * 0.09::DOUBLE / 10.0::DOUBLE dens FROM rates CROSS JOIN fac)"""
+ full_ AS (SELECT cat, nfor, ndefor, CASE WHEN nfor > 0 THEN 1 - pow(1 - ndefor::DOUBLE / nfor, 0.1::DOUBLE) END rate_obs, {RATE} rate_mod, factor * ({RATE}) rate_abs, factor * ({RATE}) * 0.09::DOUBLE / 10.0::DOUBLE dens FROM rates CROSS JOIN fac)"""
 MATRIX = "count(*) FILTER (pred = 0 AND obs = 0) n00, count(*) FILTER (pred = 0 AND obs = 1) n01, count(*) FILTER (pred = 1 AND obs = 0) n10, count(*) FILTER (pred = 1 AND obs = 1) n11"
 
 
@@ -71,6 +71,19 @@ def rounded(df: DataFrame, places: int = 6, skip: tuple[str, ...] = ()) -> DataF
     return df.select(*[F.round(F.col(f"`{c}`"), places).alias(c) if t == "double" and c not in skip else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
+def nine(df: DataFrame, *names: str) -> DataFrame:
+    """The named doubles to nine places by floor(x * 1e9 + 0.5): engines' own round() differ on values beside a tie, this one does not."""
+    return df.select(*[(F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])
+
+
+def nine_sql(*names: str) -> str:
+    return ", ".join(f"floor({n} * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE {alias}" for n, alias in (x.split(":") for x in names))
+
+
+RATE_COLUMNS = ("rate_obs", "rate_mod", "rate_abs", "defor_dens")
+RATE_SQL = nine_sql("rate_obs:rate_obs", "rate_mod:rate_mod", "rate_abs:rate_abs", "dens:defor_dens")
+
+
 # ---- grids and scans
 
 
@@ -307,9 +320,9 @@ def class_counts(spark, sf_dir):
 # ---- projection and validation
 
 
-@query(f"WITH {FCC123}, {RISK}, {RATES} SELECT cat, nfor, ndefor, round(rate_obs, 9) rate_obs, round(rate_mod, 9) rate_mod, round(rate_abs, 9) rate_abs, 10.0::DOUBLE time_interval, 0.09::DOUBLE pixel_area, round(dens, 9) defor_dens FROM full_")
+@query(f"WITH {FCC123}, {RISK}, {RATES} SELECT cat, nfor, ndefor, {RATE_SQL}, 10.0::DOUBLE time_interval, 0.09::DOUBLE pixel_area FROM full_")
 def defrate_per_cat(spark, sf_dir):
-    return rounded(project.rates_by_class(demo.fcc123(spark, sf_dir), demo.risk(spark, sf_dir), META, YEARS), 9)
+    return nine(project.rates_by_class(demo.fcc123(spark, sf_dir), demo.risk(spark, sf_dir), META, YEARS), *RATE_COLUMNS)
 
 
 def _period(period: str, start: int, lost: str) -> None:
@@ -317,10 +330,10 @@ def _period(period: str, start: int, lost: str) -> None:
     rates = RATES.replace("f.v > 0", f"f.v > {start}").replace("f.v = 1", f"f.v IN ({lost})")
 
     def run(spark, sf_dir):
-        return rounded(project.rates_by_class(demo.fcc123(spark, sf_dir), demo.risk(spark, sf_dir), META, YEARS, period), 9)
+        return nine(project.rates_by_class(demo.fcc123(spark, sf_dir), demo.risk(spark, sf_dir), META, YEARS, period), *RATE_COLUMNS)
 
     run.__name__ = f"defrate_{period}"
-    query(f"WITH {FCC123}, {RISK}, {rates} SELECT cat, nfor, ndefor, round(rate_obs, 9) rate_obs, round(rate_mod, 9) rate_mod, round(rate_abs, 9) rate_abs, 10.0::DOUBLE time_interval, 0.09::DOUBLE pixel_area, round(dens, 9) defor_dens FROM full_")(run)
+    query(f"WITH {FCC123}, {RISK}, {rates} SELECT cat, nfor, ndefor, {RATE_SQL}, 10.0::DOUBLE time_interval, 0.09::DOUBLE pixel_area FROM full_")(run)
 
 
 for _name, _start, _lost in (("validation", 1, "2"), ("historical", 0, "1, 2"), ("forecast", 0, "1, 2")):
@@ -418,10 +431,10 @@ def allocate_deforestation(spark, sf_dir):
     return project.allocate(r, rates, 50.0, 5.0)
 
 
-@query(f"WITH {FCC123}, {RISK}, {RATES} SELECT y, x, round(coalesce(dens, -9999), 9) v FROM risk LEFT JOIN full_ ON cat = v")
+@query(f"WITH {FCC123}, {RISK}, {RATES} SELECT y, x, {nine_sql('coalesce(dens, -9999):v')} FROM risk LEFT JOIN full_ ON cat = v")
 def density_map(spark, sf_dir):
     r = demo.risk(spark, sf_dir)
-    return rounded(project.density_map(r, project.rates_by_class(demo.fcc123(spark, sf_dir), r, META, YEARS)), 9)
+    return nine(project.density_map(r, project.rates_by_class(demo.fcc123(spark, sf_dir), r, META, YEARS)), "v")
 
 
 def _states(spark, sf_dir) -> DataFrame:
