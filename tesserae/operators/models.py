@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.pixels import invlogit, rescale
-from tesserae.operators import aggregate, formula, icar, sample, validate
+from tesserae.operators import aggregate, forest, formula, icar, sample, validate
 from tesserae.runtime import ship
 from tesserae.sources.raster import KEY
 
@@ -33,7 +33,9 @@ class Linear:
 
 
 @dataclass(frozen=True)
-class Forest:
+class SparkForest:
+    """Spark's forest, for rows of more distinct bins than ``forest.CELLS``."""
+
     design: formula.Design
     model: object
 
@@ -45,10 +47,15 @@ class Forest:
         return done.withColumn(to, vector_to_array("probability")[1]).drop(*cols, "__f", "rawPrediction", "probability", "prediction")
 
 
-def _training(data: DataFrame, design: formula.Design) -> DataFrame:
+def _complete(data: DataFrame, design: formula.Design) -> DataFrame:
+    """(label, x0 ..) of the rows without nulls."""
     cols = {f"x{i}": c.cast("double") for i, (n, c) in enumerate(design.columns) if n != "Intercept"}
-    wide = data.select(design.response.cast("double").alias("label"), *[c.alias(n) for n, c in cols.items()]).dropna()
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(wide)
+    return data.select(design.response.cast("double").alias("label"), *[c.alias(n) for n, c in cols.items()]).dropna()
+
+
+def _training(data: DataFrame, design: formula.Design) -> DataFrame:
+    wide = _complete(data, design)
+    return VectorAssembler(inputCols=wide.columns[1:], outputCol="features").transform(wide)
 
 
 def fit_logistic(text: str, data: DataFrame, with_cell: bool = False, strength: float = 1.0) -> Linear:
@@ -62,11 +69,18 @@ def fit_logistic(text: str, data: DataFrame, with_cell: bool = False, strength:
     return Linear(design, tuple(m.intercept if n == "Intercept" else next(weights) for n in design.names))
 
 
-def fit_forest(text: str, data: DataFrame, trees: int = 100, depth: int = 30, seed: int = 1234, with_cell: bool = False) -> Forest:
-    """Random forest: gini, square root of the features per split, bootstrap; depth is capped at 30 and features are binned."""
+def fit_forest(text: str, data: DataFrame, trees: int = 100, depth: int = 30, seed: int = 1234, with_cell: bool = False) -> forest.Forest | SparkForest:
+    """Random forest: gini, square root of the features per split, bootstrap; depth is capped at 30 and features are binned.
+
+    Trees grow from counts of the distinct rows of bins, which all rows enter. Where these are too many, Spark's trainer takes the rows.
+    """
     design = formula.fit(text, data, with_cell)
+    train = _complete(data, design)
+    found = forest.fit(train, train.columns[1:], trees, min(30, depth), seed)
+    if found is not None:
+        return forest.Forest(design, tuple(map(tuple, found[0])), tuple(found[1]))
     rf = RandomForestClassifier(numTrees=trees, maxDepth=min(30, depth), featureSubsetStrategy="sqrt", impurity="gini", seed=seed)
-    return Forest(design, rf.fit(_training(data, design)))
+    return SparkForest(design, rf.fit(_training(data, design)))
 
 
 def predict_raster(model, stacked: DataFrame, bands: tuple[str, ...], forest: str | None = "forest") -> DataFrame:
