@@ -15,61 +15,74 @@ from tesserae.runtime import ship
 from tesserae.sources.raster import KEY, RasterMeta
 
 
-#: Rows of a raster that one Python call works on; a strip of the widest rasters is a few million pixels.
-STRIP = 32
+#: Least rows and, for narrow rasters, least pixels that one Python call works on; a strip of the widest rasters is a few million pixels.
+STRIP, PIXELS = 32, 1 << 14
 
 
 def lower_envelope(xs: np.ndarray, heights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """min over i of (at - xs[i])^2 + heights[i] for ascending ``xs``: the envelope of parabolas, in linear time."""
-    if len(xs) == 0:
-        return np.full(len(at), np.inf)
-    hull, cuts = [0], [-np.inf]
-    for i in range(1, len(xs)):
-        while True:
-            j = hull[-1]
-            meet = ((heights[i] + xs[i] ** 2) - (heights[j] + xs[j] ** 2)) / (2.0 * (xs[i] - xs[j]))
-            if meet > cuts[-1]:
-                break
-            hull.pop()
-            cuts.pop()
-            if not hull:
-                meet = -np.inf
-                break
-        hull.append(i)
-        cuts.append(meet)
-    which = np.array(hull)[np.searchsorted(np.array(cuts), at, side="right") - 1]
-    return (at - xs[which]) ** 2 + heights[which]
+    """min over i of (at - xs[i])^2 + heights[.., i] for ascending ``xs``: envelopes of parabolas, in linear time.
+
+    ``heights`` has one envelope, or one a row, which advance together; an infinite height is no parabola.
+    """
+    h = np.atleast_2d(heights)
+    hull, cuts, top = np.zeros(h.shape, np.int64), np.full(h.shape, -np.inf), np.full(len(h), -1)
+    for i in range(len(xs)):
+        rows = np.flatnonzero(h[:, i] < np.inf)
+        meet, open_ = np.full(len(h), -np.inf), rows[top[rows] >= 0]
+        while len(open_):
+            j = hull[open_, top[open_]]
+            m = (xs[i] + xs[j]) / 2.0 + (h[open_, i] - h[open_, j]) / (2.0 * (xs[i] - xs[j]))
+            meet[open_] = m
+            open_ = open_[m <= cuts[open_, top[open_]]]
+            top[open_] -= 1
+            meet[open_[top[open_] < 0]] = -np.inf
+            open_ = open_[top[open_] >= 0]
+        top[rows] += 1
+        hull[rows, top[rows]], cuts[rows, top[rows]] = i, meet[rows]
+    out = np.full((len(h), len(at)), np.inf)
+    for r in np.flatnonzero(top >= 0):
+        which = hull[r, np.searchsorted(cuts[r, : top[r] + 1], at, side="right") - 1]
+        out[r] = (at - xs[which]) ** 2 + h[r, which]
+    return out.reshape(*np.shape(heights)[:-1], len(at))
 
 
 def distance(raster: DataFrame, meta: RasterMeta, target: int = 0, skip: int | None = None) -> DataFrame:
     """(y, x, v): Euclidean distance in map units from pixel centre to the nearest pixel of value ``target``, as a truncated integer.
 
-    Exact and separable: windows up and down each column give the vertical distance, then each row takes the lower envelope
-    of the parabolas of its columns. Pixels of value ``skip`` give null; without any target all are null.
+    Exact and separable: a strip of rows gets, for each column, the nearest targets beyond its two edges, so each of its pixels has
+    a vertical distance; then each row takes the lower envelope of the parabolas of all columns, also of those that lack its pixel.
+    Windows run over one row per strip and column, never over pixels. Pixels of value ``skip`` give null; without any target all are null.
     """
     ship(raster.sparkSession)
-    is_target = F.when(F.col("v") == target, F.col("y"))
-    up = F.last(is_target, ignorenulls=True).over(Window.partitionBy("x").orderBy("y"))
-    down = F.first(is_target, ignorenulls=True).over(Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing))
-    vertical = F.least(F.col("y") - up, down - F.col("y")).cast("double")
-    columns = raster.select(*KEY, "v", vertical.alias("g"))
     xres, yres = meta.xres, meta.yres
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        y, x, g = pdf["y"].to_numpy(), pdf["x"].to_numpy(float), pdf["g"].to_numpy(float)
-        d = np.empty(len(pdf))
-        edges = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            has = ~np.isnan(g[lo:hi])
-            d[lo:hi] = np.sqrt(lower_envelope(x[lo:hi][has] * xres, (g[lo:hi][has] * yres) ** 2, x[lo:hi] * xres))
-        return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], "d": d, "v": pdf["v"]})
-
-    kind = dict(raster.dtypes)["v"]
-    strips = columns.withColumn("strip", F.floor(F.col("y") / STRIP)).groupBy("strip")
-    out = strips.applyInPandas(rows, f"y int, x int, d double, v {kind}")
-    value = F.when(F.col("d") < float("inf"), F.floor("d")).cast("long")
-    return out.select(*KEY, (F.when(F.col("v") == skip, None).otherwise(value) if skip is not None else value).alias("v"))
+    tall = max(STRIP, -(-PIXELS // max(1, meta.ncol)))
+    pixels = raster.select(*KEY, "v", F.floor(F.col("y") / tall).alias("strip"))
+    is_target = F.when(F.col("v") == target, F.col("y"))
+    ends = pixels.groupBy("strip", "x").agg(F.min(is_target).alias("first"), F.max(is_target).alias("last"))
+    columns = ends.filter("first is not null").select("x").distinct()
+    every = ends.select("strip").distinct().crossJoin(F.broadcast(columns)).join(ends, ["strip", "x"], "left")
+    before = [Window.partitionBy("x").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("strip"), F.desc("strip"))]
+    above, below = (F.last(c, ignorenulls=True).over(w).cast("double") for c, w in zip(("last", "first"), before, strict=True))
+    near = every.select(F.col("strip").alias("part"), F.col("x").alias("column"), above.alias("above"), below.alias("below"))
+
+    def rows(pdf: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        edges = edges.sort_values("column")
+        columns = edges["column"].to_numpy()
+        ys, row = np.unique(pdf["y"].to_numpy(), return_inverse=True)
+        xs, column = np.unique(pdf["x"].to_numpy(), return_inverse=True)
+        hit = (pdf["v"] == target).to_numpy(bool)
+        spot = row[hit], np.searchsorted(columns, xs[column[hit]])
+        up, down = np.full((len(ys), len(columns)), -np.inf), np.full((len(ys), len(columns)), np.inf)
+        up[spot] = down[spot] = ys[row[hit]]
+        up[:1] = np.fmax(up[:1], edges["above"].to_numpy(float))
+        down[-1:] = np.fmin(down[-1:], edges["below"].to_numpy(float))
+        up, down = np.maximum.accumulate(up), np.minimum.accumulate(down[::-1])[::-1]
+        g = np.minimum(ys[:, None] - up, down - ys[:, None])
+        d = np.sqrt(lower_envelope(columns * float(xres), (g * yres) ** 2, xs * float(xres)))[row, column]
+        return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], "d": d if skip is None else np.where(pdf["v"] == skip, np.inf, d)})
+
+    out = pixels.groupBy("strip").cogroup(near.groupBy("part")).applyInPandas(rows, "y int, x int, d double")
+    return out.select(*KEY, F.when(F.col("d") < float("inf"), F.floor("d")).cast("long").alias("v"))
 
 
 def _shifted(raster: DataFrame) -> DataFrame:
