@@ -56,9 +56,10 @@ def distance(raster: DataFrame, meta: RasterMeta, target: int = 0, skip: int | N
     ship(raster.sparkSession)
     xres, yres = meta.xres, meta.yres
     tall = max(STRIP, -(-PIXELS // max(1, meta.ncol)))
-    pixels = raster.select(*KEY, "v", F.floor(F.col("y") / tall).alias("strip"))
+    pixels = raster.select(*KEY, "v", F.floor(F.col("y") / tall).alias("strip")).repartition("strip")
     is_target = F.when(F.col("v") == target, F.col("y"))
     ends = pixels.groupBy("strip", "x").agg(F.min(is_target).alias("first"), F.max(is_target).alias("last"))
+    ends = ends.filter("first is null or first <= last")  # all are; so both stay in every use of the table, and it is computed once
     columns = ends.filter("first is not null").select("x").distinct()
     every = ends.select("strip").distinct().crossJoin(F.broadcast(columns)).join(ends, ["strip", "x"], "left")
     before = [Window.partitionBy("x").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("strip"), F.desc("strip"))]
